@@ -60,3 +60,10 @@ def drop_written(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Send at most so many rows at a time to Python: whole texts are large, and a worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

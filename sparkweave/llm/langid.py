@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkweave.session import small_batches
+
 from sparkweave.llm.textarrays import codes_of, groups, mix
 
 #: Families of the languages that may occur; a language in none of them is a family of its own.
@@ -174,6 +176,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
     Null texts and texts without a letter are ``und`` with margin 0, as is everything if there are no labels.
     Repeated rows get a row each, a null id stays null; an empty table gives an empty result; further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     model = train(*training_sample(labelled if labelled is not None else docs, id_col, text, lang, per_language), families)
 
     def score(batches):

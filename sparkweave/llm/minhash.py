@@ -1,15 +1,17 @@
 """Near-duplicate documents by HyperMinHash.
 
-Each distinct 3-word shingle is hashed once. Its hash names one of 192 buckets; a bucket keeps the least rest of
-the hashes it gets, as a register of the count of leading zeros (6 bits) and the 20 bits after the first one.
-Bands of 4 registers are the candidate keys; pairs that share a band are screened with the
+The distinct 3-word shingles of a text are thrown into 240 buckets by a hash; a bucket keeps the least of the hash
+values it gets. Shingles are thrown again, with other hashes, for the buckets that are still empty, and in the end each
+remaining bucket takes the least over all shingles; so every bucket of every text is filled and two texts agree
+in a bucket with the probability of their Jaccard coefficient, at a cost of the shingles plus a constant. (Buckets left empty would
+make bands of short texts that share one passage agree.)
+A bucket is stored as a 16-bit register: its count of leading zeros (6 bits) and the 10 bits after the first one.
+Bands of 5 registers are the candidate keys; pairs that share a band are screened with the
 collision-corrected Jaccard estimate of their registers and then verified on the texts, with the exact Jaccard coefficient.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,10 +19,12 @@ from pyspark.sql import functions as F
 
 from sparkweave.llm.neardup import bucket_groups
 from sparkweave.llm.textarrays import groups, mix, words_of
-from sparkweave.session import written
+from sparkweave.session import small_batches, written
 
 #: Words of a shingle, least Jaccard coefficient, registers, registers of a band, mantissa bits.
-SHINGLE, LEAST, REGISTERS, BAND, MANTISSA = 3, 0.5, 192, 4, 20
+SHINGLE, LEAST, REGISTERS, BAND, MANTISSA = 3, 0.55, 240, 5, 10
+#: Throws at random before each empty bucket is filled for itself.
+THROWS = 12
 #: Ids of documents to verify that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -48,21 +52,41 @@ def shingles(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
 
 
 def sketch(doc: np.ndarray, h: np.ndarray, texts: int, registers: int = REGISTERS, mantissa: int = MANTISSA) -> np.ndarray:
-    """HyperMinHash registers, ``texts x registers`` of uint32: leading zeros + 1, then the mantissa; 0 for an empty bucket."""
-    g = mix(h ^ _SALT)
-    bucket = ((g >> np.uint64(32)) % np.uint64(registers)).astype(np.int64)
-    rest = mix(g + _SALT)
+    """HyperMinHash registers, ``texts x registers`` of uint16: leading zeros + 1, then the mantissa; all 0 for a text without shingles.
+
+    ``doc`` must be sorted.
+    """
     least = np.full(texts * registers, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(least, doc * registers + bucket, rest)
-    used = np.zeros(texts * registers, bool)
-    used[doc * registers + bucket] = True
+    filled = np.zeros(texts * registers, bool)
+    d, x = doc, h
+    for k in range(THROWS):
+        g = mix(x ^ np.uint64((int(_SALT) * (k + 1)) & 0xFFFFFFFFFFFFFFFF))
+        slot = d * registers + ((g >> np.uint64(32)) % np.uint64(registers)).astype(np.int64)
+        free = ~filled[slot]
+        slot = slot[free]
+        np.minimum.at(least, slot, mix(g[free] + _SALT))
+        filled[slot] = True
+        open_ = ~filled.reshape(texts, registers).all(1)[d]
+        d, x = d[open_], x[open_]
+        if not len(d):
+            break
+    size = np.bincount(doc, minlength=texts)
+    first = np.cumsum(size) - size
+    row, bucket = np.nonzero(~filled.reshape(texts, registers) & (size > 0)[:, None])
+    for lo in range(0, len(row), 20_000):
+        r, b = row[lo : lo + 20_000], bucket[lo : lo + 20_000]
+        n = size[r]
+        at = np.repeat(first[r] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        slot = np.repeat(r * registers + b, n)
+        np.minimum.at(least, slot, mix(h[at] ^ mix(np.repeat(b, n).astype(np.uint64) + _SALT)))
     zeros = np.clip(63 - np.floor(np.log2(np.maximum(1, least >> np.uint64(11)).astype(np.float64))).astype(np.int64) - 11, 0, 62)
     after = (least << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - mantissa)
-    return np.where(used, ((zeros + 1).astype(np.uint32) << np.uint32(mantissa)) | after.astype(np.uint32), 0).astype(np.uint32).reshape(texts, registers)
+    out = ((zeros + 1).astype(np.uint16) << np.uint16(mantissa)) | after.astype(np.uint16)
+    return np.where(np.repeat(size > 0, registers), out, 0).astype(np.uint16).reshape(texts, registers)
 
 
 def band_keys(regs: np.ndarray, band: int = BAND) -> np.ndarray:
-    """64-bit key of each band of each text; 0 for a band whose registers are all empty."""
+    """64-bit key of each band of each text; 0 for a text without shingles."""
     texts, n = regs.shape
     bands = n // band
     r = regs[:, : bands * band].reshape(texts, bands, band).astype(np.uint64)
@@ -76,15 +100,14 @@ def band_keys(regs: np.ndarray, band: int = BAND) -> np.ndarray:
 def estimate(a: np.ndarray, b: np.ndarray, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimate of pairs of sketches and the registers used, corrected for registers that agree by chance.
 
-    Two unequal least hashes agree in a register if they have the same leading zeros and mantissa. With n hashes in
-    the bucket the least is about 1/n, so that has the probability 2^-mantissa * E[x | x the least] ~ sum over
-    zeros z of p(z)^2 * 2^-mantissa; p is taken from the registers of the pair themselves.
+    Two unequal least hashes agree in a register if they have the same leading zeros and, with the probability 2^-mantissa, the same
+    mantissa. How often zeros agree follows from how they are distributed over the registers of either text.
     """
     used = (a > 0) | (b > 0)
     n = used.sum(1)
     same = ((a == b) & used).sum(1)
     chance = np.zeros(len(a))
-    za, zb = a >> np.uint32(mantissa), b >> np.uint32(mantissa)
+    za, zb = a >> np.uint16(mantissa), b >> np.uint16(mantissa)
     for z in range(1, 64):
         pa, pb = (za == z).mean(1), (zb == z).mean(1)
         chance += pa * pb
@@ -115,12 +138,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     without a word are near duplicates of nothing. Rows that repeat an id are one document, whose text is the
     greatest of theirs; rows with a null id are left out. An empty table gives an empty result; further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
 
     def sketches(batches):
         for b in batches:
             texts = [t or "" for t in b["text"]]
-            for lo, hi in groups(texts):
+            for lo, hi in groups(texts, 500_000):
                 doc, h = shingles(texts[lo:hi])
                 k = hi - lo
                 regs = sketch(doc, h, k, registers)
@@ -142,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def screen(batches):
         for b in batches:
             if len(b):
-                j, n = estimate(np.frombuffer(b"".join(b["ra"]), np.uint32).reshape(len(b), -1), np.frombuffer(b"".join(b["rb"]), np.uint32).reshape(len(b), -1))
+                j, n = estimate(np.frombuffer(b"".join(b["ra"]), np.uint16).reshape(len(b), -1), np.frombuffer(b"".join(b["rb"]), np.uint16).reshape(len(b), -1))
                 yield b.loc[j >= least - 3.5 * np.sqrt(0.25 / np.maximum(1, n)), ["a", "b"]]
 
     def verified(batches):

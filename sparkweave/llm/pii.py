@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkweave.session import small_batches
+
 TYPES = ("email", "phone", "ip", "card", "ssn", "iban")
 #: Most tokens of an entity; most characters of an entity; generated sentences; passes over them.
 MOST_TOKENS, MOST_CHARS, SENTENCES, EPOCHS = 14, 64, 1500, 5
@@ -276,6 +278,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     Documents without a digit or ``@`` have no candidate and never reach Python. Null and empty texts have no entity; a null id stays
     null; repeated rows are reported once each; texts are searched whole; an empty table gives an empty result; further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     model = train()
 
     def search(batches):

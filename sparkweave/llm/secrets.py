@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkweave.session import small_batches
+
 #: Folder of the vocabulary files; the vocabulary; the most characters a token of a random string.
 TOKENIZERS, VOCABULARY, MOST = "/opt/tokenizers", "byte_bpe_50k.tiktoken", 2.4
 
@@ -70,6 +72,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", to
     reported once each; texts are scanned whole; an empty table gives an empty result; further columns are ignored.
     ``known``: strings, such as published digests, that are never secrets.
     """
+    small_batches(docs.sparkSession)
     path = os.path.join(tokenizers, vocabulary)
 
     def scan(batches):
@@ -86,6 +89,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars"
 
     All documents are kept. Edge cases are those of :func:`scan_secrets`; a null text stays null.
     """
+    small_batches(docs.sparkSession)
     path = os.path.join(tokenizers, vocabulary)
 
     @F.pandas_udf("string")

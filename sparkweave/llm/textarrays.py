@@ -86,7 +86,7 @@ def words_of(texts: list[str]) -> Words:
     return out
 
 
-def groups(texts: list[str], chars: int = 1_000_000):
+def groups(texts: list[str], chars: int = 500_000):
     """Ranges of texts of about so many characters together; a longer text is a range of its own."""
     lo = size = 0
     for k, t in enumerate(texts):

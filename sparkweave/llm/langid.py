@@ -28,7 +28,7 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
 }
 #: Labelled documents used for training, for each language at most; hash buckets.
-TRAIN_PER_LANGUAGE, BUCKETS = 400, 1 << 13
+TRAIN_PER_LANGUAGE, BUCKETS = 300, 1 << 13
 UNKNOWN = "und"
 
 
@@ -56,26 +56,29 @@ def features(texts: list[str]) -> np.ndarray:
         own = doc - lo
         for b in buckets:
             out[lo:hi] += np.bincount(own * BUCKETS + b[letter], minlength=(hi - lo) * BUCKETS).reshape(hi - lo, BUCKETS)
-    return out / np.maximum(1, out.sum(1, keepdims=True))
+    out /= np.maximum(1, out.sum(1, keepdims=True))
+    return out
 
 
 def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 80, c: float = 10.0) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by accelerated gradient; classes count equally."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
     s = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    probe = np.ones(x1.shape[1], np.float32)
-    for _ in range(12):  # power iteration for the largest curvature
-        probe = x1.T @ (s * (x1 @ probe))
-        size = float(np.linalg.norm(probe)) or 1.0
-        probe /= size
-    top = size * 1.1 * 2 * c + 1e-3
-    w = v = np.zeros(x1.shape[1], np.float32)
+    probe, lift = np.ones(x.shape[1], np.float32), np.float32(1)
+    size = 1.0
+    for _ in range(12):  # power iteration for the largest curvature, the bias a feature of its own
+        r = s * (x @ probe + lift)
+        probe, lift = r @ x, r.sum()
+        size = float(np.sqrt(probe @ probe + lift * lift)) or 1.0
+        probe, lift = probe / np.float32(size), lift / np.float32(size)
+    top = np.float32(size * 1.1 * 2 * c + 1e-3)
+    w = v = np.zeros(x.shape[1], np.float32)
+    b0 = b = np.float32(0)
     for k in range(rounds):
-        miss = np.maximum(0, 1 - y * (x1 @ v))
-        grad = 1e-3 * v - 2 * c * (x1.T @ (s * y * miss))
-        new = v - grad / top
-        v, w = new + k / (k + 3) * (new - w), new
-    return w[:-1].astype(np.float32), float(w[-1])
+        miss = s * y * np.maximum(0, 1 - y * (x @ v + b))
+        new, newb = v - (1e-3 * v - 2 * c * (miss @ x)) / top, b - (1e-3 * b - 2 * c * miss.sum()) / top
+        go = np.float32(k / (k + 3))
+        v, w, b, b0 = new + go * (new - w), new, newb + go * (newb - b0), newb
+    return w.astype(np.float32), float(b0)
 
 
 def family_of(lang: str, families: dict = FAMILIES) -> str:
@@ -89,16 +92,16 @@ def train(texts: list[str], langs: list[str], families: dict = FAMILIES, seed: i
     for t, lang in zip(texts, langs):  # whole texts and a short stretch of each, since texts of a few words occur
         samples += [t, t[(a := int(rng.integers(0, max(1, len(t) - 60)))) : a + int(rng.integers(15, 60))]]
         names += [lang, lang]
-    x = features(samples) * 100
-    x /= np.maximum(1e-6, np.sqrt((x**2).mean()) * 10)
-    scale = float(x.max() and x.sum(1).max())
+    x = features(samples)
+    scale = np.float32(0.1 / max(1e-9, float(np.sqrt(np.einsum("ij,ij->", x, x, dtype=np.float64) / max(1, x.size)))))
+    x *= scale
     name, family = np.array(names), np.array([family_of(n, families) for n in names])
     groups_ = {str(f): sorted(map(str, set(name[family == f]))) for f in sorted(set(family))}
     pairs, ws, bs = [], [], []
     for level, labels, options in [("family", family, sorted(groups_))] + [("language", name, v) for v in groups_.values()]:
         for a, b in combinations(options, 2):
             rows = (labels == a) | (labels == b)
-            w, bias = _machine(x[rows], np.where(labels[rows] == a, 1, -1).astype(np.float32))
+            w, bias = _machine(x if rows.all() else x[rows], np.where(labels[rows] == a, 1, -1).astype(np.float32))
             pairs.append((level, a, b))
             ws.append(w * scale)
             bs.append(bias)

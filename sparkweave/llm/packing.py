@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.llm.ranks import ranked
+from sparkweave.session import written
 
 #: Words a window holds.
 CAPACITY = 2048
@@ -99,8 +100,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[tup
 
 def word_count(text: str):
     """Words of a text: maximal runs without white space; 0 for null and blank texts."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"\s+")))
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -113,7 +113,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
     The pieces of a window are listed longest first.
     """
     spark = docs.sparkSession
-    lengths = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(text).alias("_n")).where("_n > 0")
+    # Counting reads the texts, so it is done once; all that follows works on two numbers a document.
+    lengths = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(text).alias("_n")).where("_n > 0"), "lengths")
     cuts = F.transform(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / capacity).cast("int")), lambda i: i * capacity)
     pieces = lengths.withColumn("start", F.explode(cuts)).select("doc_id", "start", F.least(F.col("_n") - F.col("start"), F.lit(capacity)).alias("length"))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}

@@ -1,14 +1,413 @@
-"""Queries of the engine's operators on graphs projected from the test tables."""
+"""Queries of the engine's operators on graphs projected from the test tables, and the SQL that DuckDB answers them with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkweave.graph import loops
+from sparkweave.operators import analyze, resolve, stats, warn
+from sparkweave.plans.projections import Graph, project, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def keep(f: Callable[[Graph], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(project(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _reach(g: Graph) -> DataFrame:
+    pairs = analyze.call_pairs(g.nodes, g.edges).where("u <> 0").union(analyze.special_children(g.nodes))
+    return loops.reach(g.entries.where("node_id <> 0").select(F.col("node_id").alias("id")), pairs)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    g = project(spark, sf_dir)
+    return g.nodes.join(_reach(g), "id", "left_semi").select("id", "qualified_name", "node_type")
+
+
+@query(with_ctes("g_nodes", "g_reach", tail=" SELECT id, qualified_name, node_type FROM g_nodes WHERE id IN (SELECT id FROM g_reach)"))
+def reach_entries(g: Graph) -> DataFrame:
+    return g.nodes.join(_reach(g), "id", "left_semi").select("id", "qualified_name", "node_type")
+
+
+@query(with_ctes("g_nodes", "g_reach", tail=" SELECT id FROM g_nodes WHERE id NOT IN (SELECT id FROM g_reach)"))
+def dead_nodes(g: Graph) -> DataFrame:
+    return g.nodes.select("id").join(_reach(g), "id", "left_anti")
+
+
+@query(with_ctes("g_noprop", "g_reach", tail=" SELECT id FROM g_noprop WHERE id NOT IN (SELECT id FROM g_reach)"))
+def noprop_alive(g: Graph) -> DataFrame:
+    return analyze.entry_nodes(g.nodes, g.entries)[1].join(_reach(g), "id", "left_anti")
+
+
+# Reached or of a test file, variables of those, and all owners: what the liveness analysis starts from.
+_ALIVE = """, a0 AS (SELECT id FROM g_reach UNION SELECT id FROM g_noprop),
+a1 AS (SELECT id FROM a0 UNION SELECT id FROM g_nodes WHERE node_type IN ('variable', 'field') AND parent IN (SELECT id FROM a0)),
+alive AS (SELECT id FROM a1 UNION SELECT n.parent FROM alive JOIN g_nodes n ON n.id = alive.id WHERE n.parent <> 0)"""
+_BASE = ("g_noprop", "g_reach", "g_adj")
+
+
+@query(with_ctes(*_BASE, tail=_ALIVE + " SELECT id FROM alive"))
+def ancestors_alive(g: Graph) -> DataFrame:
+    return analyze.entry_reach(g.nodes, g.edges, g.entries)[0].select("id")
+
+
+@query(with_ctes("g_comp", tail=" SELECT id, comp AS component FROM g_comp"))
+def components(g: Graph) -> DataFrame:
+    return loops.components(g.nodes, analyze.adjacency(g.nodes, g.edges))
+
+
+@query(with_ctes("g_adj", tail=" SELECT s AS u, t AS v FROM g_adj WHERE s < t"))
+def adjacency(g: Graph) -> DataFrame:
+    return analyze.adjacency(g.nodes, g.edges)
+
+
+@query(with_ctes("g_nodes", "g_edges", tail=" SELECT s AS u, t AS v FROM g_edges LEFT JOIN g_nodes ON t = id WHERE edge_type = 'call' OR (edge_type = 'read' AND node_type IN ('class', 'method', 'function'))"))
+def call_graph(g: Graph) -> DataFrame:
+    return analyze.call_pairs(g.nodes, g.edges)
+
+
+# The whole analysis: growth inside components, split of the dead rest, merge along inheritance and decoration.
+_MEMBERS = (
+    _ALIVE
+    + """,
+grow AS (SELECT s, t FROM g_calls UNION SELECT t, s FROM g_edges WHERE edge_type = 'call' UNION SELECT s, t FROM g_adj JOIN g_nodes ON id = t WHERE node_type IN ('variable', 'field')),
+grown AS (SELECT id FROM alive WHERE id NOT IN (SELECT id FROM g_noprop) UNION SELECT t FROM grown JOIN grow ON s = id WHERE t NOT IN (SELECT id FROM g_noprop)),
+live AS (SELECT id FROM grown UNION SELECT id FROM alive),
+dead AS (SELECT id FROM g_nodes WHERE id NOT IN (SELECT id FROM live)),
+dadj AS (SELECT s, t FROM g_adj WHERE s IN (SELECT id FROM dead) AND t IN (SELECT id FROM dead)),
+dcc AS (SELECT id, id AS c FROM dead UNION SELECT t, c FROM dcc JOIN dadj ON s = id WHERE c < t),
+split AS (SELECT id, min(id) OVER (PARTITION BY comp) AS component, false AS is_dead FROM g_comp WHERE id IN (SELECT id FROM live) UNION ALL SELECT id, min(c), true FROM dcc GROUP BY id),
+tied0 AS (SELECT DISTINCT a.component AS u, b.component AS v FROM g_edges JOIN split a ON a.id = s JOIN split b ON b.id = t WHERE edge_type IN ('inherit', 'decorate') AND a.component <> b.component),
+tied AS (SELECT u, v FROM tied0 UNION SELECT v, u FROM tied0),
+sizes AS (SELECT component, is_dead, count(*) AS n FROM split GROUP BY ALL),
+bunch AS (SELECT component, component AS b FROM sizes UNION SELECT v, b FROM bunch JOIN tied ON u = component WHERE b < v),
+bunches AS (SELECT component, min(b) AS b FROM bunch GROUP BY component),
+target AS (SELECT b, arg_max(component, (n, -component)) AS target FROM bunches JOIN sizes USING (component) WHERE NOT is_dead GROUP BY b),
+moved AS (SELECT component, target FROM bunches JOIN sizes USING (component) JOIN target USING (b) WHERE is_dead),
+members AS (SELECT id, coalesce(target, component) AS component, is_dead AND target IS NULL AS is_dead FROM split LEFT JOIN moved USING (component))"""
+)
+_ALL = (*_BASE, "g_comp", "g_calls")
+
+
+def _components(g: Graph) -> analyze.Components:
+    return analyze.find_components(g.nodes, g.edges, g.entries)
+
+
+@query(with_ctes(*_ALL, tail=_MEMBERS + " SELECT id FROM members WHERE NOT is_dead"))
+def live_nodes(g: Graph) -> DataFrame:
+    return _components(g).members.where("not is_dead").select("id")
+
+
+@query(with_ctes(*_ALL, tail=_MEMBERS + " SELECT id, component FROM members WHERE is_dead"))
+def dead_split(g: Graph) -> DataFrame:
+    return _components(g).members.where("is_dead").select("id", "component")
+
+
+@query(with_ctes(*_ALL, tail=_MEMBERS + " SELECT id, component, is_dead FROM members"))
+def merge_inherit(g: Graph) -> DataFrame:
+    return _components(g).members
+
+
+_STATS = """,
+cstats AS (SELECT component, is_dead, count(*) FILTER (node_type IN ('class', 'function', 'method')) AS node_count, count(*) FILTER (node_type IN ('variable', 'field')) AS variable_count, string_agg(id, ', ' ORDER BY id) AS root_node_ids
+  FROM g_nodes JOIN members USING (id) GROUP BY ALL),
+ecount AS (SELECT component, count(*) AS edge_count FROM (SELECT a.component FROM g_edges JOIN members a ON a.id = s UNION ALL SELECT b.component FROM g_edges JOIN members a ON a.id = s JOIN members b ON b.id = t WHERE a.component <> b.component) GROUP BY component)"""
+
+
+@query(with_ctes(*_ALL, tail=_MEMBERS + _STATS + " SELECT component, is_dead, node_count, variable_count, root_node_ids, sha256('[' || root_node_ids || ']') AS component_hash FROM cstats"))
+def component_stats(g: Graph) -> DataFrame:
+    return stats.component_stats(g.nodes, _components(g).members).withColumn("root_node_ids", F.array_join(F.col("root_node_ids").cast("array<string>"), ", "))
+
+
+@query(with_ctes(*_ALL, tail=_MEMBERS + _STATS + " SELECT component, edge_count FROM ecount"))
+def component_edge_counts(g: Graph) -> DataFrame:
+    return stats.edge_counts(g.edges, _components(g).members)
+
+
+_DIGRAPH = ", d AS (SELECT s, t FROM g_edges WHERE edge_type IN ('call', 'inherit')), r AS (SELECT s, t FROM d UNION SELECT r.s, d.t FROM r JOIN d ON r.t = d.s)"
+_RINGS = _DIGRAPH + ", ring AS (SELECT a.s AS id, least(a.s, min(a.t)) AS component FROM r a JOIN r b ON a.s = b.t AND a.t = b.s WHERE a.s <> a.t GROUP BY a.s)"
+
+
+@query(with_ctes("g_edges", tail=_RINGS + " SELECT id, component FROM ring"))
+def scc_cycles(g: Graph) -> DataFrame:
+    return warn.cycles(g.nodes, g.edges)
+
+
+@query(with_ctes("g_edges", tail=" SELECT t AS id, string_agg(DISTINCT edge_type, ',' ORDER BY edge_type) AS types FROM g_edges GROUP BY t"))
+def incoming_types(g: Graph) -> DataFrame:
+    return warn.incoming_types(g.edges).withColumn("types", F.array_join("types", ","))
+
+
+@query(with_ctes("g_nodes", "g_edges", tail=" SELECT id, name FROM g_nodes WHERE node_type IN ('variable', 'field') AND id IN (SELECT t FROM g_edges WHERE edge_type = 'write') AND id NOT IN (SELECT t FROM g_edges WHERE edge_type = 'read')"))
+def write_only(g: Graph) -> DataFrame:
+    return warn.write_only(g.nodes, g.edges).select("id", "name")
+
+
+@query(with_ctes("g_nodes", "g_edges", tail=" SELECT id, name FROM g_nodes WHERE node_type IN ('variable', 'field') AND id NOT IN (SELECT t FROM g_edges)"))
+def unused_variable(g: Graph) -> DataFrame:
+    return warn.unused_variables(g.nodes, g.edges).select("id", "name")
+
+
+_DEAD = """,
+dc AS (SELECT n.id, n.is_special, component, line_start, node_type, file_id, row_number() OVER (PARTITION BY component, is_special ORDER BY id) AS k, bool_or(NOT is_special) OVER (PARTITION BY component) AS plain FROM g_nodes n JOIN members USING (id) WHERE is_dead),
+dead3 AS (SELECT id AS node_id, component, file_id, line_start FROM dc WHERE (NOT is_special AND k <= 3) OR (is_special AND NOT plain AND k <= 2))"""
+
+
+@query(with_ctes(*_ALL, tail=_MEMBERS + _DEAD + " SELECT node_id, file_id, line_start AS line FROM dead3"))
+def dead_code_top3(g: Graph) -> DataFrame:
+    return warn.dead_code(g.nodes, _components(g).members).select("node_id", "file_id", "line")
+
+
+_WARNINGS = (
+    _MEMBERS
+    + _DEAD
+    + _RINGS
+    + """,
+w0 AS (SELECT 'unused_variable' AS warn_type, 4 AS o, id AS node_id, file_id, line_start AS line FROM g_nodes WHERE node_type IN ('variable', 'field') AND id NOT IN (SELECT t FROM g_edges)
+ UNION ALL SELECT 'write_only', 5, id, file_id, line_start FROM g_nodes WHERE node_type IN ('variable', 'field') AND id IN (SELECT t FROM g_edges WHERE edge_type = 'write') AND id NOT IN (SELECT t FROM g_edges WHERE edge_type = 'read')
+ UNION ALL SELECT 'circular_ref', 6, id, file_id, line_start FROM g_nodes JOIN (SELECT max(id) AS id FROM ring GROUP BY component) USING (id)
+ UNION ALL SELECT 'dead_code', 7, node_id, file_id, line_start FROM dead3),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY warn_type, file_id, line ORDER BY node_id) AS k FROM w0) WHERE k = 1)"""
+)
+
+
+def _warnings(g: Graph, c: analyze.Components) -> DataFrame:
+    return warn.dedupe(warn.graph_warnings(g.nodes, g.edges, c.members))
+
+
+@query(with_ctes(*_ALL, tail=_WARNINGS + " SELECT warn_type, node_id, file_id, line FROM w"))
+def warn_dedupe(g: Graph) -> DataFrame:
+    return _warnings(g, _components(g)).select("warn_type", "node_id", "file_id", "line")
+
+
+@query(with_ctes(*_ALL, tail=_WARNINGS + " SELECT warn_type, count(*) AS n FROM w GROUP BY warn_type"))
+def warnings_summary(g: Graph) -> DataFrame:
+    return warn.summary(_warnings(g, _components(g)))
+
+
+def _snapshots(g: Graph) -> tuple[DataFrame, analyze.Components, DataFrame]:
+    c = _components(g)
+    w = _warnings(g, c)
+    entries = g.entries.withColumn("line", F.lit(1))
+    return stats.snapshots(g.nodes, g.edges, c.members, w, entries, g.files), c, w
+
+
+_SNAPS = (
+    _WARNINGS
+    + _STATS
+    + """,
+wcount AS (SELECT component, count(*) AS warning_count FROM w JOIN members ON id = node_id GROUP BY component),
+ents AS (SELECT component, path, is_test, 0 AS k, 'segment' AS rule FROM g_entries e JOIN members m ON m.id = e.node_id JOIN g_nodes n ON n.id = e.node_id JOIN g_files USING (file_id)
+  UNION ALL SELECT DISTINCT component, path, is_test, 1, 'test_file' FROM g_nodes n JOIN members m USING (id) JOIN g_files USING (file_id) WHERE is_test),
+ent AS (SELECT component, arg_min((path, rule), (is_test, k, path, rule)) AS e FROM ents GROUP BY component),
+snaps AS (SELECT component AS graph_id, e[1] AS entry_file, coalesce(e[2], '') AS entry_type, node_count, variable_count, coalesce(edge_count, 0) AS edge_count, coalesce(warning_count, 0) AS warning_count, is_dead AS is_dead_code
+  FROM cstats LEFT JOIN ecount USING (component) LEFT JOIN wcount USING (component) LEFT JOIN ent USING (component))"""
+)
+_SHOWN = ["graph_id", "entry_file", "entry_type", "node_count", "variable_count", "edge_count", "warning_count", "is_dead_code"]
+
+
+@query(with_ctes(*_ALL, tail=_SNAPS + " SELECT * FROM snaps"))
+def snapshots(g: Graph) -> DataFrame:
+    return _snapshots(g)[0].select(*_SHOWN)
+
+
+@query(with_ctes(*_ALL, tail=_SNAPS + " SELECT * FROM snaps ORDER BY warning_count DESC, graph_id LIMIT 50"))
+def list_graphs(g: Graph) -> DataFrame:
+    return stats.list_graphs(_snapshots(g)[0], limit=50).select(*_SHOWN)
+
+
+@query(
+    with_ctes(
+        *_ALL,
+        tail=_SNAPS
+        + """ SELECT * FROM snaps WHERE warning_count > 0 AND node_count + variable_count BETWEEN 1 AND 40 AND (entry_file IS NULL OR entry_file NOT IN (SELECT path FROM g_files WHERE is_test))
+ AND graph_id IN (SELECT component FROM w JOIN members ON id = node_id WHERE warn_type = 'dead_code') AND graph_id IN (SELECT component FROM w JOIN members ON id = node_id WHERE warn_type = 'unused_variable') ORDER BY edge_count DESC, graph_id LIMIT 20""",
+    )
+)
+def list_graphs_filtered(g: Graph) -> DataFrame:
+    s, c, w = _snapshots(g)
+    return stats.list_graphs(s, c.members, w, g.files, exclude_clean=True, min_nodes=1, max_nodes=40, include_tests=False, warn_types=["dead_code", "unused_variable"], sort_by="edges", limit=20).select(*_SHOWN)
+
+
+@query(with_ctes(*_ALL, tail=_SNAPS + " SELECT * FROM snaps WHERE NOT is_dead_code ORDER BY entry_file DESC NULLS LAST, graph_id LIMIT 30"))
+def list_graphs_live(g: Graph) -> DataFrame:
+    return stats.list_graphs(_snapshots(g)[0], exclude_unreachable=True, sort_by="name", limit=30).select(*_SHOWN)
+
+
+@query(with_ctes(*_ALL, tail=_MEMBERS + " SELECT n.id, qualified_name, node_type, path FROM g_nodes n JOIN members m USING (id) JOIN g_files USING (file_id) WHERE component = 1"))
+def graph_detail_nodes(g: Graph) -> DataFrame:
+    return stats.detail_nodes(g.nodes, _components(g).members, g.files, 1).select("id", "qualified_name", "node_type", "path")
+
+
+@query(with_ctes(*_ALL, tail=_MEMBERS + ", one AS (SELECT id FROM members WHERE component = 1) SELECT s AS source_id, t AS target_id, edge_type FROM g_edges WHERE s IN (SELECT id FROM one) OR t IN (SELECT id FROM one)"))
+def graph_detail_edges(g: Graph) -> DataFrame:
+    return stats.detail_edges(g.edges, _components(g).members, 1).select("source_id", "target_id", "edge_type")
+
+
+@query(with_ctes(*_ALL, tail=_WARNINGS + " SELECT warn_type, node_id, line FROM w JOIN members ON id = node_id WHERE component = 1"))
+def graph_detail_warnings(g: Graph) -> DataFrame:
+    c = _components(g)
+    return stats.detail_warnings(_warnings(g, c), c.members, g.nodes, 1).select("warn_type", "node_id", "line")
+
+
+@query(with_ctes(*_ALL, tail=_MEMBERS + " SELECT n.node_type, count(*) AS n FROM g_nodes n JOIN members USING (id) WHERE NOT is_dead GROUP BY n.node_type"))
+def detail_histogram(g: Graph) -> DataFrame:
+    return g.nodes.join(_components(g).members.where("not is_dead"), "id").groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    with_ctes(
+        *_ALL,
+        tail=_MEMBERS
+        + """, ecc AS (SELECT id, id AS c FROM g_nodes UNION SELECT t, c FROM ecc JOIN (SELECT s, t FROM g_edges UNION SELECT t, s FROM g_edges) ON s = id WHERE c < t), tie AS (SELECT id, min(c) AS b FROM ecc GROUP BY id),
+deadb AS (SELECT DISTINCT component, b FROM members JOIN tie USING (id) WHERE is_dead)
+SELECT component AS graph_id, path AS test_file, n2.qualified_name AS target FROM g_edges e JOIN g_nodes n1 ON n1.id = e.s JOIN g_files f ON f.file_id = n1.file_id AND is_test JOIN tie ON tie.id = e.t JOIN deadb USING (b) JOIN g_nodes n2 ON n2.id = e.t""",
+    )
+)
+def dead_code_tests(g: Graph) -> DataFrame:
+    at = g.edges.drop("file_id").join(g.nodes.select(F.col("id").alias("source_id"), "file_id"), "source_id")
+    return stats.tests_of_dead(g.nodes, at, _components(g).members, g.files).select("graph_id", "test_file", "target")
+
+
+@query(with_ctes("g_nodes", "g_edges", tail=" SELECT count(*) AS edges, count(*) FILTER (s NOT IN (SELECT id FROM g_nodes WHERE id % 7 <> 0)) AS no_source, count(*) FILTER (t NOT IN (SELECT id FROM g_nodes WHERE id % 7 <> 0)) AS no_target FROM g_edges"))
+def dangling_edges(g: Graph) -> DataFrame:
+    return stats.dangling(g.edges, g.nodes.where("id % 7 <> 0"))
+
+
+# Name resolution, rule by rule.
+_RESOLVE = """,
+k0 AS (SELECT r.ref_id, r.source_id, r.target_name AS q, n.qualified_name AS s, coalesce(p.qualified_name, '') AS cs FROM g_refs r JOIN g_nodes n ON n.id = r.source_id LEFT JOIN g_nodes p ON p.id = n.parent),
+t1 AS (SELECT ref_id, source_id, n.id, 1 AS tier FROM k0 JOIN g_nodes n ON n.qualified_name = q),
+k1 AS (SELECT * FROM k0 WHERE ref_id NOT IN (SELECT ref_id FROM t1)),
+t2 AS (SELECT ref_id, source_id, n.id, 2 AS tier FROM k1 JOIN g_nodes n ON starts_with(n.qualified_name, s || '.') AND ends_with(n.qualified_name, '.' || q) AND length(n.qualified_name) >= length(s) + 1 + length(q)),
+k2 AS (SELECT * FROM k1 WHERE ref_id NOT IN (SELECT ref_id FROM t2)),
+t3 AS (SELECT ref_id, source_id, n.id, 3 AS tier FROM k2 JOIN g_nodes n ON cs <> '' AND starts_with(n.qualified_name, cs || '.') AND ends_with(n.qualified_name, '.' || q) AND length(n.qualified_name) >= length(cs) + 1 + length(q)),
+k3 AS (SELECT * FROM k2 WHERE ref_id NOT IN (SELECT ref_id FROM t3)),
+suf AS (SELECT id, qualified_name, unnest([qualified_name, regexp_replace(qualified_name, '^[^.]*\\.', ''), regexp_extract(qualified_name, '[^.]*$')]) AS suffix FROM g_nodes),
+t5a AS (SELECT DISTINCT ref_id, source_id, u.id, starts_with(u.qualified_name, s) AS st FROM k3 JOIN suf u ON u.suffix = q),
+t5 AS (SELECT ref_id, source_id, id, 5 AS tier FROM (SELECT *, bool_or(st) OVER (PARTITION BY ref_id) AS anyst FROM t5a) WHERE st OR NOT anyst),
+res AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t5)"""
+
+
+def _resolved(g: Graph) -> DataFrame:
+    return resolve.resolve(g.refs, g.nodes)
+
+
+def _tier(n: int):
+    return lambda g: _resolved(g).where(F.col("tier") == n).select("ref_id", "source_id", "target_id")
+
+
+for _name, _n in (("resolve_exact", 1), ("resolve_scope", 2), ("resolve_owner", 3), ("resolve_suffix", 5)):
+    _f = _tier(_n)
+    _f.__name__ = _name
+    query(with_ctes("g_nodes", "g_refs", tail=_RESOLVE + f" SELECT ref_id, source_id, id AS target_id FROM res WHERE tier = {_n}"))(_f)
+
+
+@query(with_ctes("g_nodes", "g_refs", tail=_RESOLVE + " SELECT ref_id, target_name FROM g_refs WHERE ref_id NOT IN (SELECT ref_id FROM res)"))
+def unresolved_refs(g: Graph) -> DataFrame:
+    return resolve.unresolved(g.refs, _resolved(g)).select("ref_id", "target_name")
+
+
+@query(with_ctes("g_nodes", "g_refs", tail=_RESOLVE + " SELECT source_id, id AS target_id, count(*) AS n FROM res WHERE source_id <> id GROUP BY ALL UNION ALL SELECT 0, id, 1 FROM g_nodes WHERE parent = 0"))
+def resolved_edges(g: Graph) -> DataFrame:
+    refs = _resolved(g).withColumn("file_id", F.lit(1).cast("long")).withColumn("line", F.lit(1))
+    return resolve.to_edges(refs, g.nodes).groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_INC = "g_inc AS (SELECT DISTINCT CAST(s_nationkey + 1 AS BIGINT) AS a, CAST((s_suppkey * 7 + s_nationkey) % 25 + 1 AS BIGINT) AS b FROM supplier WHERE s_suppkey % 5 = 0 AND s_nationkey <> (s_suppkey * 7 + s_nationkey) % 25)"
+
+
+def _supplier_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 5 = 0 and s_nationkey <> (s_suppkey * 7 + s_nationkey) % 25")
+    return t.select(F.expr("cast(s_nationkey + 1 as long)").alias("file_id"), F.expr("cast((s_suppkey * 7 + s_nationkey) % 25 + 1 as long)").alias("included"))
+
+
+QUERIES["include_closure"] = lambda spark, sf_dir: resolve.closure(_supplier_includes(spark, sf_dir))
+ORACLES["include_closure"] = f"WITH RECURSIVE {_INC}, c AS (SELECT a, b FROM g_inc UNION SELECT c.a, g_inc.b FROM c JOIN g_inc ON c.b = g_inc.a) SELECT a AS file_id, b AS included FROM c"
+
+
+def _include_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part names a file: its whole path, a path relative to the part's own, a bare name, or none that exists."""
+    files = project(spark, sf_dir).files
+    path = F.expr("element_at(split(path, '/'), -1)")
+    want = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("p_partkey % 25 + 1").cast("long").alias("file_id"), F.expr("(p_partkey * 11) % 25 + 1").cast("long").alias("to"), F.expr("p_partkey % 4").alias("how"))
+    to = files.select(F.col("file_id").alias("to"), F.col("path").alias("to_path"), path.alias("base"))
+    paths = want.join(to, "to").select("file_id", F.expr("case how when 0 then to_path when 1 then concat('../', to_path) when 2 then base else concat(base, 'x') end").alias("include_path")).distinct()
+    return resolve.resolve_includes(paths, files)
+
+
+QUERIES["include_resolution"] = _include_paths
+ORACLES["include_resolution"] = with_ctes(
+    "g_files",
+    tail=" SELECT DISTINCT CAST(p_partkey % 25 + 1 AS BIGINT) AS file_id, CAST((p_partkey * 11) % 25 + 1 AS BIGINT) AS included FROM part WHERE p_partkey % 4 < 3 AND p_partkey % 25 <> (p_partkey * 11) % 25",
+)
+
+
+def _changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkweave.sources import index
+
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name"), "p_partkey", "p_size")
+    old = t.where("p_partkey % 10 <> 0").select(F.concat("name", F.lit("-"), "p_partkey").alias("path"), F.col("p_size").cast("string").alias("hash"))
+    new = t.where("p_partkey % 7 <> 0").select(F.concat("name", F.lit("-"), "p_partkey").alias("path"), F.when(F.expr("p_partkey % 3 = 0"), F.col("p_size") + 1).otherwise(F.col("p_size")).cast("string").alias("hash"))
+    return index.diff(old, new)
+
+
+QUERIES["changed_files_diff"] = _changed_files
+ORACLES["changed_files_diff"] = """
+SELECT p_name || '-' || p_partkey AS path, CASE WHEN p_partkey % 10 = 0 THEN 'added' WHEN p_partkey % 7 = 0 THEN 'removed' WHEN p_partkey % 3 = 0 THEN 'modified' ELSE 'unchanged' END AS state
+FROM part WHERE NOT (p_partkey % 10 = 0 AND p_partkey % 7 = 0)"""
+
+
+def _public_chain(g: Graph) -> DataFrame:
+    """Nodes all of whose owners, like they themselves, have a name that ends in an even digit."""
+    from sparkweave.operators.rules import whole_chain
+
+    return whole_chain(g.nodes, F.col("name").rlike("[02468]$")).select("id")
+
+
+_public_chain.__name__ = "public_chain"
+query(with_ctes("g_nodes", tail=", up AS (SELECT id, id AS a FROM g_nodes UNION SELECT up.id, n.parent FROM up JOIN g_nodes n ON n.id = up.a WHERE n.parent <> 0) SELECT up.id FROM up JOIN g_nodes n ON n.id = up.a GROUP BY up.id HAVING bool_and(regexp_matches(n.name, '[02468]$'))"))(_public_chain)
+
+
+@query(with_ctes(*_ALL, tail=_SNAPS + ", b AS (SELECT graph_id, warning_count, 80 + coalesce(length(entry_file), 0) AS cost FROM snaps) SELECT graph_id, CAST(cost AS BIGINT) AS cost, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(cost) OVER (ORDER BY warning_count DESC, graph_id ROWS UNBOUNDED PRECEDING) AS used FROM b) WHERE used <= 8000"))
+def volume_budget(g: Graph) -> DataFrame:
+    return stats.volume_budget(_snapshots(g)[0], 8000).select("graph_id", "cost", "used")
+
+
+@query(with_ctes("g_files", "g_nodes", tail=" SELECT path, is_test, count(*) AS n_nodes, min(n.line_start) AS first_line FROM g_files f JOIN g_nodes n USING (file_id) GROUP BY ALL"))
+def files_overview(g: Graph) -> DataFrame:
+    return g.files.join(g.nodes, "file_id").groupBy("path", "is_test").agg(F.count(F.lit(1)).alias("n_nodes"), F.min("line_start").alias("first_line"))
+
+
+@query(
+    with_ctes(
+        *_ALL,
+        tail=_MEMBERS
+        + " SELECT split_part(path, '/', 1) AS folder, path, count(*) AS nodes, count(*) FILTER (is_dead) AS dead FROM members JOIN g_nodes USING (id) JOIN g_files USING (file_id) GROUP BY ROLLUP (folder, path)",
+    )
+)
+def dead_rollup(g: Graph) -> DataFrame:
+    at = g.nodes.join(_components(g).members, "id").join(g.files, "file_id").withColumn("folder", F.split_part("path", F.lit("/"), F.lit(1)))
+    return at.rollup("folder", "path").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("is_dead").alias("dead"))
+
+
+def _first_at_line(g: Graph) -> DataFrame:
+    from sparkweave.operators.rules import bind_entries
+
+    marks = g.nodes.where("id % 9 = 0").select("file_id", F.lit(0).cast("long").alias("node_id"), "line_start", F.lit("mark").alias("rule_name")).withColumnRenamed("line_start", "line").distinct()
+    return bind_entries(marks, g.nodes).select("file_id", "line", "node_id")
+
+
+_first_at_line.__name__ = "entry_binding"
+query(with_ctes("g_nodes", tail=", m AS (SELECT DISTINCT file_id, line_start AS line FROM g_nodes WHERE id % 9 = 0) SELECT m.file_id, m.line, min(n.id) AS node_id FROM m JOIN g_nodes n ON n.file_id = m.file_id AND n.line_start = m.line GROUP BY ALL"))(_first_at_line)

@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """The rows of the documents that :func:`near_duplicates` keeps; rows with a null id stay."""
     gone = near_duplicates(docs, id_col, text, **params).where("not keep").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
 
 
 #: All pairs that share a shingle, exact Jaccard coefficient, connected components.

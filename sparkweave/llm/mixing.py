@@ -133,9 +133,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source: str = "sour
     phases = placed.groupBy("phase").agg(F.count_distinct(F.coalesce("_source", F.lit("\0"))).alias("_sources")).collect()
     alone = {r["phase"] for r in phases if r["_sources"] == 1 and r["phase"] > 0}
     kept = placed.where(~F.col("phase").isin(sorted(alone))) if alone else placed
-    kept = kept.groupBy("_id").agg(F.min(F.struct("slot", "position")).alias("_at"))
+    kept = kept.groupBy("_id").agg(F.min(F.struct("slot", "position")).alias("_at")).select("_id", F.col("_at.slot").alias("_slot"), F.col("_at.position").alias("_position"))
     columns = [docs[c] for c in docs.columns]
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_id"))).orderBy("_at.slot", "_at.position").select(*columns)
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_id"])).orderBy(kept["_slot"], kept["_position"]).select(*columns)
 
 
 def deviation(parts: list[int]) -> Fraction:

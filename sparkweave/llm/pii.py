@@ -1,6 +1,6 @@
 """Personal data by a semi-Markov conditional random field.
 
-A text is cut into segments, each either a single token outside or an entity of some type of up to 12 tokens.
+A text is cut into segments, each either a single token outside or an entity of some type of up to 16 tokens.
 An entity's score is linear in features of the whole span (its shape, check digits, octets, what stands next to it),
 so boundaries and types are chosen together by dynamic programming over segments. The weights are
 trained by maximum likelihood on generated, labelled sentences.
@@ -23,7 +23,7 @@ from sparkweave.session import small_batches
 
 TYPES = ("email", "phone", "ip", "card", "ssn", "iban")
 #: Most tokens of an entity; most characters of an entity; generated sentences; passes over them.
-MOST_TOKENS, MOST_CHARS, SENTENCES, EPOCHS = 14, 64, 1500, 5
+MOST_TOKENS, MOST_CHARS, SENTENCES, EPOCHS = 16, 64, 1500, 5
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _CHUNK = re.compile(r"\S+")
@@ -95,10 +95,15 @@ def segments(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     n = len(tokens)
     digits = [sum(c.isdigit() for c in text[a:b]) for a, b in tokens]
+    spots, at = places(text), 0
     joined = [True] * n  # may a segment go on from the token before?
     for k in range(1, n):
-        gap = text[tokens[k - 1][1] : tokens[k][0]]
-        joined[k] = not gap or (len(gap) == 1 and gap in " \t" and bool(_JOIN.match(text[tokens[k][0]])) and bool(_JOIN.match(text[tokens[k - 1][1] - 1])))
+        left, right = tokens[k - 1][1], tokens[k][0]
+        if left < right:
+            while at < len(spots) and spots[at][1] < right:
+                at += 1
+            inside = at < len(spots) and spots[at][0] < left
+            joined[k] = inside and right - left == 1 and text[left] in " \t" and bool(_JOIN.match(text[right])) and bool(_JOIN.match(text[left - 1]))
     out = []
     for i in range(n):
         a = tokens[i][0]
@@ -182,7 +187,7 @@ def sentences(n: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str
                 gold.append((len(text), len(text) + len(s), kind))
             else:
                 s = nothing[int(rng.integers(0, len(nothing)))]()
-            text += s + pick("", "", ".", ",", "!!", ")", "%%%", ";", " ")
+            text += s + pick("", "", ".", ",", "!!", ")", "%%%", ";") + pick(" ", " ", " ", "\n")
         out.append((text + pick("", " ", " " + word()), gold))
     return out
 
@@ -263,13 +268,12 @@ def find_pii(text: str | None, model: tuple[dict[str, int], np.ndarray] | None =
     index, w = model or train()
     out = []
     for lo, hi in [(0, len(text))] if everywhere and text else places(text or ""):
-        lo, hi = max(0, lo - 40), min(len(text), hi + 2)  # features look at the surroundings
-        tokens, segs = segments(part := text[lo:hi])
+        tokens, segs = segments(text[lo:hi])
         if not segs:
             continue
-        score = np.stack([w[[index[f] for f in features(part, a, b) if f in index]].sum(0) for _, _, a, b in segs])
+        score = np.stack([w[[index[f] for f in features(text, lo + a, lo + b) if f in index]].sum(0) for _, _, a, b in segs])
         out += [(lo + segs[s][2], lo + segs[s][3], TYPES[k], v) for s, k, v in best_segments(len(tokens), [s[:2] for s in segs], score)]
-    return sorted(set(out))
+    return out
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,10 +2,9 @@
 
 import math
 import random
-import re
-
 import numpy as np
 import pytest
+import regex
 
 from sparkweave.llm import langid, pii, secrets, toxicity
 from sparkweave.llm.textarrays import groups, words_of
@@ -21,7 +20,7 @@ def test_words():
     got = [[] for _ in texts]
     for d, s, e in zip(w.doc, w.start, w.end):
         got[d].append("".join(map(chr, w.codes[s:e])))
-    assert got == [re.findall(r"\w+", t) for t in low]
+    assert got == [regex.findall(r"[\p{L}\p{N}\p{M}_]+", t) for t in low]
     by_word = {}
     for d, s, e, h in zip(w.doc, w.start, w.end, w.hash):
         assert by_word.setdefault("".join(map(chr, w.codes[s:e])), h) == h

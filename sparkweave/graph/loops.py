@@ -14,23 +14,29 @@ from sparkweave.graph.components import component_stars
 from sparkweave.session import drop_written, written
 
 
-def _small(edges: DataFrame, most: int) -> bool:
-    return most > 0 and edges.limit(most + 1).count() <= most
+def _fetched(most: int, *tables: DataFrame):
+    """The tables' columns as arrays if none has more than ``most`` rows, else None; one job a table tells and fetches."""
+    out = []
+    for t in tables:
+        columns = local.arrays(t.limit(most + 1)) if most > 0 else None
+        if columns is None or len(columns[0]) > most:
+            return None
+        out.append(columns)
+    return out
 
 
 def reach(seeds: DataFrame, edges: DataFrame, most_edges: int = local.MOST_EDGES) -> DataFrame:
     """``seeds(id)``, ``edges(u, v)`` -> ``(id)``: what the seeds reach along edges, the seeds among it. Nulls and repeats don't matter."""
     seeds = seeds.select(F.col("id").cast("long")).where("id is not null").distinct()
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null and u <> v").distinct()
-    if _small(edges, most_edges) and _small(seeds, most_edges):
-        u, v = local.arrays(edges)
-        (s,) = local.arrays(seeds)
+    if found := _fetched(most_edges, edges, seeds):
+        (u, v), (s,) = found
         return local.frame(seeds.sparkSession, id=local.reach(s, u, v))
     edges = written(edges, "edges")
     seen = front = written(seeds, "seen")
     while True:
-        found = front.join(edges, front["id"] == edges["u"]).select(F.col("v").alias("id")).distinct().join(seen, "id", "left_anti")
-        front = written(found, "front")
+        new = front.join(edges, front["id"] == edges["u"]).select(F.col("v").alias("id")).distinct().join(seen, "id", "left_anti")
+        front = written(new, "front")
         if front.isEmpty():
             return seen
         seen = written(seen.union(front), "seen")
@@ -38,9 +44,8 @@ def reach(seeds: DataFrame, edges: DataFrame, most_edges: int = local.MOST_EDGES
 
 def components(vertices: DataFrame, edges: DataFrame, most_edges: int = local.MOST_EDGES) -> DataFrame:
     """``vertices(id)``, ``edges(u, v)`` -> ``(id, component)``, the component being its least vertex; an edge between unknown vertices counts."""
-    if _small(edges, most_edges):
-        u, v = local.arrays(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"))
-        ids, labels = local.components(u, v)
+    if found := _fetched(most_edges, edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")):
+        ids, labels = local.components(*found[0])
         stars = local.frame(vertices.sparkSession, u=ids, v=labels)
     else:
         stars = component_stars(edges)
@@ -54,9 +59,8 @@ def strong_components(edges: DataFrame, most_edges: int = local.MOST_EDGES) -> D
     forwards, and from each vertex that kept its own label backwards among those of its label. What meets both is a component; it is taken out, and so on.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct()
-    if _small(edges, most_edges):
-        u, v = local.arrays(edges)
-        ids, labels = local.strong(u, v)
+    if found := _fetched(most_edges, edges):
+        ids, labels = local.strong(*found[0])
         return local.frame(edges.sparkSession, id=ids, component=labels)
     rest = written(edges, "rest")
     done: DataFrame | None = None

@@ -8,19 +8,16 @@ Each rule is an equi-join of the distinct (target, scope, owner) keys that no ea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave import schema as S
+from sparkweave.functions.names import dotted, normal_path
 from sparkweave.session import drop_written, written
 
 KEY = ["q", "s", "cs", "cf"]
 
 
-def dotted(c: Column) -> Column:
-    return F.replace(c, F.lit("::"), F.lit("."))
-
-
 def suffixes(nodes: DataFrame) -> DataFrame:
     """``(suffix, id)``: each trailing run of the parts of each qualified name."""
     parts = nodes.where("qualified_name <> ''").select("id", F.split(dotted(F.col("qualified_name")), r"\.").alias("p"))
@@ -118,19 +115,13 @@ def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
     """``includes(file_id, include_path)``, ``files(file_id, path)`` -> ``(file_id, included)``: the very path, else relative to the including
     file, else the one file of that name; an include of itself or of nothing known is dropped."""
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    own = includes.join(files.select("file_id", "path"), "file_id").withColumn("near", _normal(F.when(folder == "", F.col("include_path")).otherwise(F.concat(folder, F.lit("/"), "include_path"))))
+    own = includes.join(files.select("file_id", "path"), "file_id").withColumn("near", normal_path(F.when(folder == "", F.col("include_path")).otherwise(F.concat(folder, F.lit("/"), "include_path"))))
     base = files.groupBy(F.element_at(F.split("path", "/"), -1).alias("base")).agg(F.min("file_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     out = own.join(files.select(F.col("path").alias("include_path"), F.col("file_id").alias("x")), "include_path", "left").join(files.select(F.col("path").alias("near"), F.col("file_id").alias("y")), "near", "left")
     out = out.withColumn("base", F.element_at(F.split("include_path", "/"), -1)).join(base, "base", "left")
     return out.select("file_id", F.coalesce("x", "y", "b").alias("included")).where("included is not null and included <> file_id").distinct()
 
 
-def _normal(path: Column) -> Column:
-    """A path without ``.`` and with ``..`` worked off."""
-    step = lambda a, x: F.when((x == "") | (x == "."), a).when((x == "..") & (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)) != ".."), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x))
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
-
-
 def closure(pairs: DataFrame) -> DataFrame:
     """``pairs(a, b)`` -> all ``(a, b)`` with a path of one step or more from a to b; paths double in length from round to round."""
     a, b = pairs.columns
@@ -171,6 +162,3 @@ def merge_partials(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = parts.join(merged.select("canonical_name", "node_type", F.col("id").alias("target_id")), ["canonical_name", "node_type"])
     edges = edges.select(F.col("id").alias("source_id"), "target_id", F.lit("part_of").alias("edge_type"), "file_id", F.col("line_start").cast("int").alias("line"))
     return nodes.unionByName(full), edges
-
-
-

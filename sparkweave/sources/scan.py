@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.config import META
+from sparkweave.functions.names import base_name, folders
 from sparkweave.operators.rules import any_glob, glob
 from sparkweave.parse import LANGUAGES, registered
 
@@ -33,23 +34,23 @@ def excluded_column(path: Column, user: list[str] = ()) -> Column:
     A user's pattern that ends in ``/`` names folders at any depth or a leading path; another one is a glob for the path or its last part.
     """
     names = sorted(set(COMMON_EXCLUDES).union(*(LANGUAGES[x].EXCLUDES for x in registered())))
-    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
-    out = F.exists(folders, lambda d: d.isin(*names) | d.endswith(".egg-info") | d.startswith(".")) | F.element_at(F.split(path, "/"), -1).startswith(".") | path.rlike(r"\.py[co]$")
+    within = folders(path)
+    out = F.exists(within, lambda d: d.isin(*names) | d.endswith(".egg-info") | d.startswith(".")) | base_name(path).startswith(".") | path.rlike(r"\.py[co]$")
     for p in user:
         if p.endswith("/"):
             named = glob(p[:-1])
-            out = out | F.exists(folders, lambda d: d.rlike(named)) | path.startswith(p)
+            out = out | F.exists(within, lambda d: d.rlike(named)) | path.startswith(p)
         else:
-            out = out | path.rlike(glob(p)) | F.element_at(F.split(path, "/"), -1).rlike(glob(p))
+            out = out | path.rlike(glob(p)) | base_name(path).rlike(glob(p))
     return out
 
 
 def test_column(path: Column, patterns: dict) -> Column:
     """Whether a path is that of a test file: its name fits a pattern, a folder is a test folder, or it is a test configuration file."""
-    base = F.element_at(F.split(path, "/"), -1)
-    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    base = base_name(path)
     dirs = [d.rstrip("/") for d in patterns.get("dir_patterns", [])]
-    return base.rlike(any_glob(list(patterns.get("file_patterns", [])) + list(patterns.get("config_files", [])))) | (F.exists(folders, lambda d: d.rlike(any_glob(dirs))) if dirs else F.lit(False))
+    named = any_glob(dirs)
+    return base.rlike(any_glob(list(patterns.get("file_patterns", [])) + list(patterns.get("config_files", [])))) | (F.exists(folders(path), lambda d: d.rlike(named)) if dirs else F.lit(False))
 
 
 def scan(spark: SparkSession, root: str, config: dict, compat: bool = False) -> DataFrame:
@@ -61,7 +62,7 @@ def scan(spark: SparkSession, root: str, config: dict, compat: bool = False) ->
     lister = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
     raw = lister.load(base)
     prefix = base if "://" in base else "file:" + base
-    rel = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), f"^(file:/*)?{_quoted(base if '://' not in base else prefix)}/", "")
+    rel = F.regexp_replace("path", f"^(file:/*)?{_quoted(base if '://' not in base else prefix)}/", "")
     user = [] if compat else config.get("exclude_patterns", {}).get("user_exclude", [])
     most = int(float(config.get("performance", {}).get("max_file_size_mb", 10)) * 1024 * 1024)
     at = raw.withColumn("path", rel).withColumn("lang", language_column(F.col("path"))).where(F.col("lang").isNotNull() & ~excluded_column(F.col("path"), user))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkweave.graph import local
 from sparkweave.operators import analyze, resolve, rules, stats, warn
 from sparkweave.parse import LANGUAGES
-from sparkweave.session import small_batches, written
+from sparkweave.session import small_batches, small_input, written
 from sparkweave.sources import scan
 from sparkweave.sources.index import Index, diff
 
@@ -176,21 +177,19 @@ def build_index(spark: SparkSession, root: str, index: Index, config: dict, forc
         fresh = fresh.unionByName(parsed_before.join(changes.where("state = 'unchanged'").select("path"), "path", "left_semi"))
     version = index.begin()
     parsed = index.write(version, "parsed", fresh)
-    t = with_ids(listed, parsed)
-    files = index.write(version, "files", t.files, "path")
-    nodes = index.write(version, "own_nodes", t.nodes, "id")
-    t = Tables(files, nodes, t.refs, t.marks, t.imports, t.said)
-    b = analyse(t, config, public_as_entry, extensions, compat)
-    index.write(version, "nodes", b.nodes, "id")
-    index.write(version, "edges", b.edges, "source_id")
-    index.write(version, "entries", b.entries)
-    index.write(version, "imports", t.imports)
-    warnings = index.write(version, "warnings", b.warnings, "node_id")
-    index.write(version, "members", b.members, "component")
-    index.write(version, "snapshots", b.snapshots, "graph_id")
-    index.write(version, "summary", b.summary)
+    rows = parsed.agg(F.coalesce(F.sum(F.size("nodes") + F.size("refs") + F.size("imports") + F.size("marks")), F.lit(0))).first()[0]
+    with small_input(rows):
+        t = with_ids(listed, parsed)
+        t = Tables(t.files, written(t.nodes, "nodes"), written(t.refs, "refs"), written(t.marks, "marks"), written(t.imports, "imports"), written(t.said, "said"))
+        b = analyse(t, config, public_as_entry, extensions, compat)
+    tables = {
+        "files": (t.files, "path"), "nodes": (b.nodes, "id"), "edges": (b.edges, "source_id"), "entries": (b.entries, None), "imports": (t.imports, None), "warnings": (b.warnings, "node_id"), "members": (b.members, "component"),
+        "snapshots": (b.snapshots, "graph_id"), "summary": (b.summary, None),
+    }
+    with ThreadPoolExecutor(4) as pool:  # independent jobs, side by side
+        made = dict(zip(tables, pool.map(lambda k: index.write(version, k, *tables[k]), tables)))
     index.commit(version, public_as_entry=public_as_entry, config=_config_mark(config))
-    return _result(began, sum(count.get(k, 0) for k in ("added", "modified", "unchanged")), count, nodes.count(), b.edges.count(), warnings.count())
+    return _result(began, sum(count.get(k, 0) for k in ("added", "modified", "unchanged")), count, t.nodes.count(), made["edges"].count(), made["warnings"].count())
 
 
 def _config_mark(config: dict) -> str:

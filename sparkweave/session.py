@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -45,16 +47,41 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Rows up to which :func:`written` keeps a table on the driver while its inputs are known to be small; 0: never.
+_DRIVER_ROWS: contextvars.ContextVar[int] = contextvars.ContextVar("driver_rows", default=0)
+#: Rows of all inputs together below which the graph operators work that way, and rows of a table that is kept so.
+SMALL_INPUT, SMALL_TABLE = 500_000, 100_000
+
+
+@contextlib.contextmanager
+def small_input(rows: int):
+    """While inside, tables of few rows go through the driver instead of files, if the inputs have fewer than :data:`SMALL_INPUT` rows.
+
+    A file costs a job to write and planning to read, which is most of the time on small graphs. Results are the same.
+    """
+    token = _DRIVER_ROWS.set(SMALL_TABLE if rows <= SMALL_INPUT else 0)
+    try:
+        yield
+    finally:
+        _DRIVER_ROWS.reset(token)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+    spark, most = df.sparkSession, _DRIVER_ROWS.get()
+    if most:
+        table = df.limit(most + 1).toArrow()
+        if table.num_rows <= most:
+            return spark.createDataFrame(table, df.schema)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing will read again."""
+    """Delete a table made by :func:`written` that nothing will read again; while inputs are small, leave it for the end of the session."""
+    if _DRIVER_ROWS.get():
+        return
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:

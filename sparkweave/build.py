@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -15,7 +16,7 @@ from sparkweave.graph import local
 from sparkweave.operators import analyze, resolve, rules, stats, warn
 from sparkweave.parse import LANGUAGES
 from sparkweave.session import small_batches, small_input, written
-from sparkweave.sources import scan
+from sparkweave.sources import projects, scan
 from sparkweave.sources.index import Index, diff
 
 _NODE = (
@@ -92,8 +93,8 @@ def with_ids(scanned: DataFrame, parsed: DataFrame) -> Tables:
     return Tables(status, nodes, refs, marks, imports, said)
 
 
-def find_entries(t: Tables, config: dict, public_as_entry: bool = False) -> DataFrame:
-    """Entries by the configured rules, bound to nodes by line."""
+def find_entries(t: Tables, config: dict, public_as_entry: bool = False, root: str | None = None) -> DataFrame:
+    """Entries by the configured rules and by the project files below a local root, bound to nodes by line."""
     spark = t.nodes.sparkSession
     files = t.files.withColumn("has_nodes", F.col("n") > 0)
     whole = files.select("file_id", F.lit("file").alias("kind"), F.col("path").alias("name"), F.lit(1).alias("line"), F.lit(0).cast("long").alias("node_id"))
@@ -113,6 +114,10 @@ def find_entries(t: Tables, config: dict, public_as_entry: bool = False) -> Data
     if public_as_entry:
         shown = t.marks.where("kind in ('export', 'visible') and node_id <> 0").select("file_id", "node_id", F.lit("public").alias("rule_name"), F.col("line").cast("int").alias("line"), F.lit("public item").alias("description"), F.lit(False).alias("no_propagate"))
         found = found.unionByName(shown)
+    csharp, binaries = (projects.csharp_projects(root), projects.cargo_binaries(root)) if root and os.path.isdir(root) else ([], [])
+    if csharp or binaries:
+        more, skipped = projects.project_entries(spark, t.files, t.nodes, t.marks, csharp, binaries)
+        found = found.join(skipped, "file_id", "left_anti").unionByName(more)
     return found.distinct()
 
 
@@ -127,7 +132,7 @@ class Built:
     summary: DataFrame
 
 
-def analyse(t: Tables, config: dict, public_as_entry: bool = False, extensions: bool = False, compat: bool = False, most_edges: int = local.MOST_EDGES) -> Built:
+def analyse(t: Tables, config: dict, public_as_entry: bool = False, extensions: bool = False, compat: bool = False, most_edges: int = local.MOST_EDGES, root: str | None = None) -> Built:
     """Everything that follows from the parsed tables. ``extensions``: also warn of uses of deprecated nodes and of references that nothing matches."""
     nodes, parts = resolve.merge_partials(t.nodes)
     nodes = written(nodes, "nodes")
@@ -140,7 +145,7 @@ def analyse(t: Tables, config: dict, public_as_entry: bool = False, extensions:
     # Fragments of partial types are reached by their own names only through the merged node.
     resolved = written(resolve.drop_foreign_static(resolve.resolve(bound, nodes), nodes, closed), "resolved")
     edges = written(resolve.to_edges(resolved, nodes).unionByName(parts), "edges")
-    entries = written(find_entries(t, config, public_as_entry), "entries")
+    entries = written(find_entries(t, config, public_as_entry, root), "entries")
     c = analyze.find_components(nodes, edges, entries, includes, most_edges)
     warnings = t.said.unionByName(warn.graph_warnings(nodes, edges, c.members, most_edges))
     if extensions:
@@ -181,7 +186,7 @@ def build_index(spark: SparkSession, root: str, index: Index, config: dict, forc
     with small_input(rows):
         t = with_ids(listed, parsed)
         t = Tables(t.files, written(t.nodes, "nodes"), written(t.refs, "refs"), written(t.marks, "marks"), written(t.imports, "imports"), written(t.said, "said"))
-        b = analyse(t, config, public_as_entry, extensions, compat)
+        b = analyse(t, config, public_as_entry, extensions, compat, root=root)
     tables = {
         "files": (t.files, "path"), "nodes": (b.nodes, "id"), "edges": (b.edges, "source_id"), "entries": (b.entries, None), "imports": (t.imports, None), "warnings": (b.warnings, "node_id"), "members": (b.members, "component"),
         "snapshots": (b.snapshots, "graph_id"), "summary": (b.summary, None),

@@ -428,3 +428,20 @@ query(with_ctes("g_nodes", tail=", m AS (SELECT DISTINCT file_id, line_start AS
 def scc_dense(g: Graph) -> DataFrame:
     """The same loop on a graph folded together until it has cycles."""
     return loops.strong_components(g.edges.select((F.col("source_id") % 400).alias("u"), (F.col("target_id") % 400).alias("v")))
+
+
+@query(
+    with_ctes(
+        "g_files",
+        tail=", prj AS (SELECT r_name AS folder FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT '') SELECT file_id, arg_max(folder, length(folder)) AS folder FROM g_files JOIN prj ON folder = '' OR starts_with(path, folder || '/') GROUP BY file_id",
+    )
+)
+def nearest_project(g: Graph) -> DataFrame:
+    """The closest of some folders above each file."""
+    from sparkweave.sources.projects import nearest_project as nearest
+
+    folder = F.split_part("path", F.lit("/"), F.lit(1))
+    spark = g.files.sparkSession
+    names = g.files.select(folder.alias("folder")).distinct().where(F.col("folder").isin("AFRICA", "ASIA", "MIDDLE EAST"))
+    projects = names.union(spark.createDataFrame([("",)], "folder string")).withColumn("project", F.col("folder"))
+    return nearest(g.files.select("file_id", "path"), projects).select("file_id", "folder")

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from sparkweave.session import builder
 
-    s = builder("tests", cores="3", partitions=3).config("spark.driver.memory", "6g").getOrCreate()
+    s = builder("tests", cores="4", partitions=4).config("spark.driver.memory", "6g").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

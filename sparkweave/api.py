@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import time
 from typing import Any
@@ -36,7 +37,7 @@ def _index(spark: SparkSession, root: str) -> Index:
     return Index(spark, f"file:{root}/{META}/index")
 
 
-def build(force_rebuild: bool = False, parallel: int = 0, root_dir: str = ".", public_as_entry: bool = False, lang: str = "system", spark: SparkSession | None = None, compat: bool = False, extensions: bool = False) -> dict[str, Any]:
+def build(root_dir: str = ".", force_rebuild: bool = False, lang: str = "system", parallel: int = 0, compat: bool = False, extensions: bool = False, public_as_entry: bool = False, spark: SparkSession | None = None) -> dict[str, Any]:
     """Build the index of a folder or bring it up to date; returns counts and the time taken.
 
     ``parallel`` is checked and otherwise left to Spark. ``compat``: user excludes have no effect and cycles on equal lines are one warning.
@@ -45,8 +46,7 @@ def build(force_rebuild: bool = False, parallel: int = 0, root_dir: str = ".", p
     from sparkweave.build import build_index
 
     root = _root(root_dir)
-    if parallel < 0:
-        raise InvalidParamError("parallel", str(parallel), "must not be negative")
+    _whole("parallel", parallel, 0)
     config = Config(root).load()
     for ext, n in scan.unhandled(root).items():
         print(f"{n} {ext} files are not parsed: no parser is registered for them", file=sys.stderr)
@@ -59,22 +59,34 @@ def _whole(name: str, value: int | None, low: int, high: int | None = None) -> N
         raise InvalidParamError(name, str(value), f"{low}-{high}" if high is not None else f"at least {low}")
 
 
+def _one_of(name: str, value: str, known) -> None:
+    if value not in known:
+        raise InvalidParamError(name, value, f"one of {sorted(known)}")
+
+
 def _kinds(warn_types: str | None) -> list[str]:
-    kinds = [w.strip() for w in (warn_types or "").split(",") if w.strip()]
-    for w in kinds:
-        if w not in S.WARN_TYPES:
-            raise InvalidParamError("warn_types", w, f"one of {sorted(S.WARN_TYPES)}")
+    kinds = re.findall(r"[^\s,]+", warn_types or "")
+    for kind in kinds:
+        _one_of("warn_types", kind, S.WARN_TYPES)
     return kinds
 
 
+def _ok(**values: Any) -> dict[str, Any]:
+    return {"status": "ok", **values}
+
+
+def _failed(message: str, **values: Any) -> dict[str, Any]:
+    return {"status": "error", "message": message, **values}
+
+
 def _entry(row: dict) -> str:
     return " ".join(filter(None, [row.get("entry_type"), row.get("entry_file")]))
 
 
 def query(
-    include_tests: bool = False, exclude_clean: bool = False, exclude_unreachable: bool = False, dead_code_tests: bool = False, graph_id: int | None = None, json_output: bool = False, path_format: str = "relative", root_dir: str = ".",
-    max_results: int = 50, min_nodes: int = 0, max_nodes: int | None = None, warn_types: str | None = None, sort_by: str = "warnings", detail_level: str = "auto", output_limit: int = 8000, edge_limit: int = 10, file_limit: int = 10,
-    node_limit: int = 30, no_scan: bool = False, public_as_entry: bool = False, lang: str = "system", spark: SparkSession | None = None,
+    root_dir: str = ".", graph_id: int | None = None, detail_level: str = "auto", dead_code_tests: bool = False, edge_limit: int = 10, exclude_clean: bool = False, file_limit: int = 10, exclude_unreachable: bool = False, json_output: bool = False,
+    include_tests: bool = False, lang: str = "system", max_nodes: int | None = None, min_nodes: int = 0, max_results: int = 50, no_scan: bool = False, node_limit: int = 30, path_format: str = "relative", output_limit: int = 8000,
+    public_as_entry: bool = False, warn_types: str | None = None, sort_by: str = "warnings", spark: SparkSession | None = None,
 ) -> str | dict[str, Any]:
     """List graphs, show one (``graph_id``), or list the tests that touch dead code (``dead_code_tests``); text, or a dict with ``json_output``.
 
@@ -86,13 +98,12 @@ def query(
     _whole("max_nodes", max_nodes, 1)
     _whole("max_results", max_results, 1, 1000)
     _whole("output_limit", output_limit, 100, 100_000)
-    if path_format not in ("absolute", "relative"):
-        raise InvalidParamError("path_format", path_format)
-    if sort_by not in stats.SORTS:
-        raise InvalidParamError("sort_by", sort_by)
+    _one_of("sort_by", sort_by, stats.SORTS)
+    _one_of("path_format", path_format, {"relative", "absolute"})
     kinds = _kinds(warn_types)
     config = Config(root).load()
-    lang = lang if lang != "system" else config.get("lang", "system")
+    if lang == "system":
+        lang = config.get("lang") or lang
     spark, began = session(spark), time.time()
     index = _index(spark, root)
     if not no_scan:
@@ -107,21 +118,22 @@ def query(
     if graph_id is not None:
         if no_scan and not validate(index, root, graph_id):
             said = form.t("stale")
-            return {"status": "error", "message": said, "query_time_ms": took()} if json_output else said
-        d = graph_detail(index, graph_id, edge_limit, file_limit, node_limit)
+            return _failed(said, query_time_ms=took()) if json_output else said
+        d = graph_detail(index, graph_id, node_limit, edge_limit, file_limit)
         if d is None:
             said = form.t("no_graph", id=graph_id)
-            return {"status": "error", "message": said, "query_time_ms": took()} if json_output else said
+            return _failed(said, query_time_ms=took()) if json_output else said
         if not json_output:
             return form.detail(d)
         d.pop("histogram")
-        return {"status": "ok", "query_time_ms": took(), "root_dir": form.root, "graph": d}
+        return _ok(graph=d, root_dir=form.root, query_time_ms=took())
     if dead_code_tests:
         return _dead_tests(index, json_output, form.t, took)
-    r = graph_list(index, max_results, include_tests=include_tests, exclude_clean=exclude_clean, exclude_unreachable=exclude_unreachable, min_nodes=min_nodes, max_nodes=max_nodes, warn_types=kinds, sort_by=sort_by)
+    only = {"exclude_clean": exclude_clean, "include_tests": include_tests, "max_nodes": max_nodes, "exclude_unreachable": exclude_unreachable, "min_nodes": min_nodes}
+    r = graph_list(index, max_results, sort_by=sort_by, warn_types=kinds, **only)
     if json_output:
-        return {"status": "ok", "query_time_ms": took(), "root_dir": root, "path_format": path_format, "result": r}
-    return form.listing(r, *volume(r["graphs"], False, output_limit, detail_level))
+        return _ok(result=r, root_dir=root, path_format=path_format, query_time_ms=took())
+    return form.listing(r, *volume(r["graphs"], False, detail_level, output_limit))
 
 
 def graph_list(index: Index, max_results: int = 50, **filters) -> dict[str, Any]:
@@ -151,7 +163,7 @@ def _head(df: DataFrame, limit: int, order: list) -> tuple[list[dict], int]:
     return out, n - len(out)
 
 
-def graph_detail(index: Index, graph_id: int, edge_limit: int = 10, file_limit: int = 10, node_limit: int = 30) -> dict[str, Any] | None:
+def graph_detail(index: Index, graph_id: int, node_limit: int = 30, edge_limit: int = 10, file_limit: int = 10) -> dict[str, Any] | None:
     snap = index.read("snapshots").where(F.col("graph_id") == graph_id).first()
     if snap is None:
         return None
@@ -182,7 +194,7 @@ def _dead_tests(index: Index, json_output: bool, t: Text, took) -> str | dict[st
     found = stats.tests_of_dead(index.read("nodes"), index.read("edges"), index.read("members"), index.read("files"))
     rows = [{"test_file": r["test_file"], "line": r["line"], "referenced_symbol": r["target"], "dead_graph_id": r["graph_id"]} for r in found.orderBy("graph_id", "test_file", "line", "target").collect()]
     if json_output:
-        return {"status": "ok", "query_time_ms": took(), "dead_code_tests": rows}
+        return _ok(dead_code_tests=rows, query_time_ms=took())
     return "\n".join([t("tests", count=len(rows)), *(f"  {r['test_file']}:{r['line']} → {r['referenced_symbol']} (graph {r['dead_graph_id']})" for r in rows)])
 
 
@@ -201,7 +213,7 @@ def validate(index: Index, root: str, graph_id: int) -> bool:
     return True
 
 
-ACTIONS = ("show", "set", "get", "copy-from", "add-entry-rule", "remove-entry-rule", "add-exclude", "remove-exclude")
+ACTIONS = tuple("show get set copy-from".split()) + tuple(f"{verb}-{what}" for what in ("entry-rule", "exclude") for verb in ("add", "remove"))
 
 
 def configure(
@@ -211,17 +223,15 @@ def configure(
     config = Config(_root(root_dir))
     needs = {"get": (("key", key),), "set": (("key", key), ("value", value)), "copy-from": (("from", source),), "add-entry-rule": (("rule-json", rule_json),), "remove-entry-rule": (("name", rule_name),), "add-exclude": (("exclude-pattern", exclude_pattern),), "remove-exclude": (("exclude-pattern", exclude_pattern),)}
     if action not in ACTIONS:
-        return {"status": "error", "message": f"Unknown action: {action}"}
+        return _failed(f"There is no action {action}")
     missing = [f"--{k}" for k, v in needs.get(action, ()) if v is None or v == ""]
     if missing:
-        return {"status": "error", "message": f"{' and '.join(missing)} required"}
+        return _failed(f"{' and '.join(missing)} required")
     try:
         if lang not in (None, "system"):
             config.set("lang", lang)
-        if action == "show":
-            return {"status": "ok", "config": config.load()}
-        if action == "get":
-            return {"status": "ok", "key": key, "value": config.get(key)}
+        if action in ("get", "show"):
+            return _ok(key=key, value=config.get(key)) if action == "get" else _ok(config=config.load())
         if action == "set":
             config.set(key, coerced(value))
         elif action == "copy-from":
@@ -233,5 +243,5 @@ def configure(
         else:
             config.exclude(exclude_pattern, action == "add-exclude")
     except Exception as e:
-        return {"status": "error", "message": str(e)}
-    return {"status": "ok", "message": f"{action}: {key or source or rule_name or exclude_pattern or rule_json}"}
+        return _failed(str(e))
+    return _ok(message=f"{action}: {key or source or rule_name or exclude_pattern or rule_json}")

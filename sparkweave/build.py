@@ -75,8 +75,15 @@ def with_ids(scanned: DataFrame, parsed: DataFrame) -> Tables:
     """
     sizes = parsed.select("path", "module", F.size("nodes").alias("n"), F.size("said").alias("w"))
     info = scanned.select("path", "hash", "size_bytes", "mtime_ns", "lang", "is_test").join(sizes, "path")
-    w = Window.orderBy("path")
-    numbered = info.withColumn("file_id", F.row_number().over(w).cast("long")).withColumn("first", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Files are numbered within ranges of paths; the counts of the ranges before are added.
+    ranges = written(info.repartitionByRange("path").withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    starts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_files"), F.sum("n").alias("_nodes"))
+    starts = starts.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_files", "_nodes")])
+    w = Window.partitionBy("_range").orderBy("path")
+    number_of = F.row_number().over(w) + F.col("_files")
+    first = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_nodes")
+    numbered = ranges.join(starts, "_range").withColumn("file_id", number_of.cast("long")).withColumn("first", first).drop("_range", "_files", "_nodes")
     numbered = written(numbered, "files")
     at = parsed.join(numbered.select("path", "file_id", "first"), "path")
     node = at.select("file_id", "first", F.explode("nodes").alias("x"))

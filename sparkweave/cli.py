@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import argparse
 import json
 import sys
+from argparse import ArgumentParser
 from typing import Any
 
 from sparkweave import schema as S
@@ -16,15 +16,15 @@ _FLAG = {"action": "store_true"}
 QUERY: list[tuple[str, dict[str, Any]]] = [
     ("--include-tests", _FLAG), ("--exclude-clean", _FLAG), ("--exclude-unreachable", _FLAG), ("--dead-code-tests", _FLAG), ("--graph-id", {"type": int}), ("--path-format", {"choices": ["absolute", "relative"], "default": "relative"}),
     ("--max-results", {"type": int, "default": 50}), ("--min-nodes", {"type": int, "default": 0}), ("--max-nodes", {"type": int}), ("--warn-types", {}), ("--sort-by", {"choices": sorted(SORTS), "default": "warnings"}),
-    ("--detail-level", {"choices": ["auto", "summary", "full", "minimal"], "default": "auto"}), ("--output-limit", {"type": int, "default": 8000}), ("--edge-limit", {"type": int, "default": 10}), ("--file-limit", {"type": int, "default": 10}),
+    ("--detail-level", {"choices": "auto full minimal summary".split(), "default": "auto"}), ("--output-limit", {"type": int, "default": 8000}), ("--edge-limit", {"type": int, "default": 10}), ("--file-limit", {"type": int, "default": 10}),
     ("--node-limit", {"type": int, "default": 30}), ("--no-scan", _FLAG),
 ]
 
 
-def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="sparkweave", description="Dependency graphs of source code")
+def parser() -> ArgumentParser:
+    p = ArgumentParser(prog="sparkweave", description="Dependency graphs of source code")
     sub = p.add_subparsers(dest="command", required=True)
-    shared = argparse.ArgumentParser(add_help=False)
+    shared = ArgumentParser(add_help=False)
     shared.add_argument("--root-dir", default=".")
     shared.add_argument("--lang", default="system")
     q = sub.add_parser("query", parents=[shared], help="list graphs or show one")
@@ -80,4 +80,4 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

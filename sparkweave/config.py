@@ -10,6 +10,7 @@ import tempfile
 from typing import Any
 
 META = ".sparkweave"
+Settings = dict[str, Any]
 
 
 class WeaveError(Exception):
@@ -17,21 +18,21 @@ class WeaveError(Exception):
 
 
 class ConfigNotFoundError(WeaveError):
-    def __init__(self, path: str = "") -> None:
-        super().__init__(f"Config not found: {path}")
+    def __init__(self, path: str) -> None:
+        super().__init__(f"There is no configuration in {path}")
         self.path = path
 
 
 class InvalidPathError(WeaveError):
-    def __init__(self, path: str = "", reason: str = "") -> None:
-        super().__init__(f"Invalid path: {path}" + (f" ({reason})" if reason else ""))
-        self.path, self.reason = path, reason
+    def __init__(self, path: str, why: str) -> None:
+        super().__init__(f"{path}: {why}")
+        self.path, self.reason = path, why
 
 
 class InvalidParamError(WeaveError):
-    def __init__(self, param: str = "", value: str = "", reason: str = "") -> None:
-        super().__init__(f"Invalid parameter {param}={value}" + (f" ({reason})" if reason else ""))
-        self.param, self.value, self.reason = param, value, reason
+    def __init__(self, param: str, value: str, why: str) -> None:
+        super().__init__(f"{param}={value}: {why}")
+        self.param, self.value, self.reason = param, value, why
 
 
 def _rule(name: str, files: str, pattern: str, about: str, enabled: bool = True, **more: Any) -> dict[str, Any]:
@@ -77,7 +78,7 @@ RULES = [
     _rule("typescript_main", _TS, "function_def:main", "TypeScript or JavaScript main function"),
     _rule("typescript_index", _TS, _any("file_match", _INDEX), "TypeScript or JavaScript module index"),
     _rule("typescript_cli", _TS, _any("function_call", "app.listen server.listen express") + " | " + _any("class_instantiation", "Express Koa"), "TypeScript server"),
-    _rule("typescript_nextjs", "**pages/*.*[tjs][sx]", "file_match:**pages/**", "Next.js page"),
+    _rule("typescript_nextjs", "**pages/" + _TS[3:], "file_match:**pages/**", "Next.js page"),
     _rule("typescript_nestjs", _TS, _any("decorator", "Module Controller Injectable"), "NestJS part"),
     _rule("typescript_react_component", _TS, "jsx_element:*", "React component"),
     _rule("typescript_test", _TS, "test_file", "TypeScript tests"),
@@ -85,23 +86,22 @@ RULES = [
     _rule("c_test", "**/*.c", "test_file", "C tests", **_TESTS),
 ]
 
+_EXCLUDED = "__pycache__ .mypy_cache .pytest_cache .tox .venv venv env virtualenv .env node_modules .git .svn .hg .idea .vscode .vs build dist target .cargo *.egg-info"
+_TESTED = dict(
+    file_patterns=[p + e for e in (".py", ".rs") for p in ("test_*", "*_test")] + [f"*{p}.cs" for p in ("Tests", "Test", ".Tests")],
+    dir_patterns=[f"{d}/" for d in "tests test __tests__ Tests Test".split()],
+    function_patterns=["test_*"],
+    config_files=["conftest.py"],
+)
 DEFAULTS: dict[str, Any] = {
-    "version": 1,
     "lang": "system",
+    "version": 1,
     "entry_rules": RULES,
-    "test_patterns": {
-        "file_patterns": ["test_*.py", "*_test.py", "test_*.rs", "*_test.rs", "*Tests.cs", "*Test.cs", "*.Tests.cs"],
-        "dir_patterns": ["tests/", "test/", "__tests__/", "Tests/", "Test/"],
-        "config_files": ["conftest.py"],
-        "function_patterns": ["test_*"],
-    },
-    "exclude_patterns": {
-        "always_exclude": [f"{x}/" for x in "__pycache__ .mypy_cache .pytest_cache .tox .venv venv env virtualenv .env node_modules .git .svn .hg .idea .vscode .vs build dist target .cargo *.egg-info".split()] + [f"{META}/", "*.pyc", "*.pyo"],
-        "user_exclude": [],
-    },
-    "performance": {"parallel_workers": 0, "hash_algorithm": "sha256", "max_file_size_mb": 10},
+    "test_patterns": _TESTED,
+    "exclude_patterns": {"user_exclude": [], "always_exclude": [f"{x}/" for x in _EXCLUDED.split()] + [f"{META}/"] + [f"*.py{x}" for x in "co"]},
+    "performance": dict(max_file_size_mb=10, hash_algorithm="sha256", parallel_workers=0),
     "c_library_mode": "auto",
-    "output": {"default_detail": "auto", "default_max_results": 50, "default_output_limit": 8000},
+    "output": dict(default_output_limit=8000, default_max_results=50, default_detail="auto"),
 }
 
 
@@ -130,7 +130,7 @@ class Config:
         self.root = os.path.realpath(root)
         self.path = os.path.join(self.root, META, "config.json")
 
-    def load(self) -> dict[str, Any]:
+    def load(self) -> Settings:
         """Defaults with the file's values; a missing file is written, an unreadable one ignored."""
         if not os.path.isfile(self.path):
             self.save(DEFAULTS)
@@ -141,12 +141,13 @@ class Config:
         except (OSError, ValueError):
             return copy.deepcopy(DEFAULTS)
 
-    def save(self, config: dict[str, Any]) -> None:
+    def save(self, config: Settings) -> None:
         os.makedirs(os.path.dirname(self.path), exist_ok=True)
         handle, temp = tempfile.mkstemp(dir=os.path.dirname(self.path))
         try:
-            with os.fdopen(handle, "w", encoding="utf-8") as f:
-                json.dump(config, f, indent=2, ensure_ascii=False)
+            text = json.dumps(config, ensure_ascii=False, indent=2)
+            with os.fdopen(handle, "wb") as f:
+                f.write(text.encode())
             os.replace(temp, self.path)
         except BaseException:
             with contextlib.suppress(OSError):
@@ -161,7 +162,7 @@ class Config:
             value = value[part]
         return value
 
-    def set(self, key: str, value: Any) -> None:
+    def set(self, key: str, to: Any) -> None:
         config = self.load()
         *way, last = key.split(".")
         at = config
@@ -169,24 +170,23 @@ class Config:
             at = at.setdefault(part, {})
             if not isinstance(at, dict):
                 raise InvalidParamError("key", key, "not a section")
-        at[last] = value
+        at[last] = to
         self.save(config)
 
     def copy_from(self, source: str) -> None:
         path = os.path.join(source, META, "config.json") if os.path.isdir(source) else source
         if not os.path.isfile(path):
             raise ConfigNotFoundError(path)
-        with open(path, encoding="utf-8") as f:
-            self.save(merged(copy.deepcopy(DEFAULTS), json.load(f)))
+        with open(path, "rb") as f:
+            self.save(merged(copy.deepcopy(DEFAULTS), json.loads(f.read())))
 
-    def add_rule(self, rule: dict[str, Any]) -> None:
+    def add_rule(self, rule: Settings) -> None:
         if not isinstance(rule, dict) or not rule.get("name") or not rule.get("ast_pattern"):
             raise InvalidParamError("rule", str(rule), "a rule needs a name and an ast_pattern")
         config = self.load()
         if any(r.get("name") == rule["name"] for r in config["entry_rules"]):
             raise InvalidParamError("rule", rule["name"], "there is such a rule")
-        config["entry_rules"].append(rule)
-        self.save(config)
+        self.save(config | {"entry_rules": [*config["entry_rules"], rule]})
 
     def remove_rule(self, name: str) -> None:
         config = self.load()

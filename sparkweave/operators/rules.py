@@ -72,9 +72,9 @@ def compile_rules(spark: SparkSession, rules: list[dict], lang: str | None = Non
         pattern, name = r.get("ast_pattern") or "", r.get("name") or ""
         if not pattern or not name or not r.get("enabled", True):
             continue
-        file_pattern = r.get("file_pattern", "**/*.py")
+        file_pattern = r.get("file_pattern") or "**/*.py"
         python = file_pattern.endswith(".py")
-        parts = [pattern] if python and pattern.startswith("file_match:") else [p.strip() for p in pattern.split(" | ")]
+        parts = [pattern] if python and pattern.startswith("file_match:") else list(map(str.strip, pattern.split(" | ")))
         for p in parts:
             prefix, _, rest = p.partition(":")
             kind = "file" if prefix == "file_match" else "test" if prefix == "test_file" else KINDS.get(prefix, {}).get("", "")

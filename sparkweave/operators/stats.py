@@ -49,7 +49,7 @@ def snapshots(nodes: DataFrame, edges: DataFrame, members: DataFrame, warnings:
     )
 
 
-SORTS = {"warnings": "warning_count", "nodes": "node_count", "edges": "edge_count", "name": "entry_file"}
+SORTS = {"name": "entry_file"} | {f"{x}s": f"{x}_count" for x in ("warning", "node", "edge")}
 
 
 def list_graphs(

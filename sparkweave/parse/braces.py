@@ -939,7 +939,7 @@ class TypeScript(Reader):
         """The end of a statement that may do without its semicolon: before a line that starts a new one."""
         j = i
         while j < b and self.s[j] != ";":
-            if j > i and self.line[j] > self.line[j - 1] and self.k[j] == "id" and self.s[j] in ("const", "let", "var", "function", "class", "export", "import", "interface", "type", "enum", "return", "if", "for", "while", "async", "abstract", "declare", "namespace", "switch", "throw", "try") and self.s[j - 1] not in ("=", "=>", "(", ",", "+", "&&", "||", "?", ":", ".", "|", "&", "export", "default", "async"):
+            if j > i and self.line[j] > self.line[j - 1] and self.k[j] == "id" and self.s[j] in ("class", "const", "export", "function", "let", "var", "import", "interface", "type", "enum", "return", "if", "for", "while", "async", "abstract", "declare", "namespace", "switch", "throw", "try") and self.s[j - 1] not in ("=", "=>", "(", ",", "+", "&&", "||", "?", ":", ".", "|", "&", "export", "default", "async"):
                 return j
             if j > i and self.line[j] > self.line[j - 1] and self.k[j] == "id" and (self.k[j - 1] in ("id", "num", "str") and self.s[j - 1] not in self.words or self.s[j - 1] in (")", "]", "}")):
                 return j
@@ -1066,7 +1066,7 @@ class TypeScript(Reader):
         self.decorators = []
         i = start = a
         while i < b:
-            if self.s[i] in ("function", "class", "const", "let", "var") and self.at(i - 1) not in (".", "=>") and (self.s[i] != "function" or self.is_name(i + 1)):
+            if self.s[i] in ("class", "const", "function", "let", "var") and self.at(i - 1) not in (".", "=>") and (self.s[i] != "function" or self.is_name(i + 1)):
                 self.expression(start, i, q)
                 j = self.item(i, b, path, n, False)
                 i = start = max(j, i + 1)
@@ -1132,10 +1132,9 @@ def _language(reader: type[Reader], extensions: str, excludes: str, public: str,
 
 def _rust_module(path: str) -> str:
     parts = path.removesuffix(".rs").replace("\\", "/").split("/")
-    if parts[0] in ("src", "tests", "examples", "benches"):
-        parts = parts[1:]
-    if parts and parts[-1] in ("mod", "lib", "main"):
-        parts = parts[:-1]
+    first = int(parts[0] in {"benches", "examples", "src", "tests"})
+    last = len(parts) - (len(parts) > first and parts[-1] in {"lib", "main", "mod"})
+    parts = parts[first:last]
     return "::".join(["crate", *parts])
 
 

@@ -8,7 +8,7 @@ import re
 from sparkweave.parse import Parsed, decode
 
 EXTENSIONS = (".py",)
-EXCLUDES = ("__pycache__", ".mypy_cache", ".pytest_cache", ".tox", ".venv", "venv", "env", "virtualenv", ".env")
+EXCLUDES = tuple("env venv virtualenv .env .venv .tox .mypy_cache .pytest_cache __pycache__".split())
 PUBLIC = frozenset("__all__ __version__ __author__ __copyright__ __license__ __credits__".split())
 SPECIAL = frozenset(
     f"__{x}__"
@@ -17,8 +17,8 @@ SPECIAL = frozenset(
     iadd isub imul imatmul itruediv ifloordiv imod ipow ilshift irshift iand ixor ior neg pos abs invert complex int float index enter exit aenter aexit await aiter anext
     reduce reduce_ex getnewargs getstate setstate copy deepcopy""".split()
 )
-_CONTAINER = re.compile(r"(?:list|set|frozenset|tuple|Sequence|Iterable|Iterator|Collection)\[(.+)\]")
-_NAME = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*")
+_CONTAINER = re.compile(r"(?:Collection|Iterable|Iterator|Sequence|frozenset|list|set|tuple)\[(.+)\]")
+_NAME = re.compile(r"(?:[^\W\d]\w*\.)*[^\W\d]\w*", re.A)
 
 
 def module_of(path: str) -> str:
@@ -65,6 +65,9 @@ def _deprecation(decorators: list[ast.expr], doc: str) -> str | None:
     return None
 
 
+_MANY = (ast.List, ast.Tuple)
+
+
 class _Reader(ast.NodeVisitor):
     def __init__(self, out: Parsed) -> None:
         self.out, self.module = out, out.module
@@ -79,7 +82,8 @@ class _Reader(ast.NodeVisitor):
 
     @property
     def here(self) -> str:
-        return ".".join(self.path)
+        names = self.path
+        return ".".join(names)
 
     def at(self, name: str, node: ast.AST | None) -> None:
         """Visit with one more name on the path."""
@@ -197,55 +201,57 @@ class _Reader(ast.NodeVisitor):
 
     # -- assignments
 
-    def _place(self, target: ast.expr) -> tuple[int, str]:
+    def _place(self, goal) -> tuple[int, str]:
         """Owner and kind of what an assignment to the target makes."""
-        many = isinstance(target, (ast.Tuple, ast.List))
-        if self.owner and any(isinstance(t, ast.Attribute) for t in (target.elts if many else [target])):
+        many = isinstance(goal, _MANY)
+        if self.owner and any(isinstance(t, ast.Attribute) for t in (goal.elts if many else [goal])):
             return self.owner, "field"
-        if many or isinstance(target, ast.Name):
+        if many or isinstance(goal, ast.Name):
             if self.owner and not self.function:
                 return self.owner, "field"
             if self.function:
                 return self.function, "variable"
         return 0, "variable"
 
-    def _writes(self, target: ast.expr, line: int) -> None:
-        if isinstance(target, (ast.Tuple, ast.List)):
-            for t in target.elts:
-                self._writes(t, line)
-        elif isinstance(target, ast.Name):
-            self.out.ref(self.here, self.named(target.id), "write", line)
-        elif isinstance(target, ast.Attribute) and not isinstance(target.value, ast.Attribute):
-            self.out.ref(self.here, target.attr, "write", line)
-
-    def _makes(self, target: ast.expr, kind: str, parent: int, n: ast.stmt, annotation: str = "") -> None:
-        if isinstance(target, (ast.Tuple, ast.List)):
-            for t in target.elts:
-                self._makes(t, kind, parent, n, annotation)
-            return
-        if isinstance(target, ast.Name) and target.id not in self.globals:
-            name, qname = target.id, f"{self.here}.{target.id}"
-        elif isinstance(target, ast.Attribute) and not isinstance(target.value, ast.Attribute):
-            name = target.attr
-            qname = f"{self.owner_name if kind == 'field' and self.owner_name else self.here}.{name}"
-        else:
-            return
+    def _writes(self, goal: ast.expr, line: int) -> None:
+        match goal:
+            case ast.Tuple() | ast.List():
+                for t in goal.elts:
+                    self._writes(t, line)
+            case ast.Name():
+                self.out.ref(self.here, self.named(goal.id), "write", line)
+            case ast.Attribute(value=base) if not isinstance(base, ast.Attribute):
+                self.out.ref(self.here, goal.attr, "write", line)
+
+    def _makes(self, goal: ast.expr, kind: str, parent: int, n: ast.stmt, annotation: str = "") -> None:
+        match goal:
+            case ast.Tuple() | ast.List():
+                for t in goal.elts:
+                    self._makes(t, kind, parent, n, annotation)
+                return
+            case ast.Name(id=name) if name not in self.globals:
+                qname = f"{self.here}.{name}"
+            case ast.Attribute(attr=name, value=base) if not isinstance(base, ast.Attribute):
+                qname = f"{self.owner_name if kind == 'field' and self.owner_name else self.here}.{name}"
+            case _:
+                return
         if kind == "field":
             if qname in self.fields:
                 return
             self.fields.add(qname)
         self.out.node(kind, name, qname, n.lineno, n.end_lineno, n.col_offset, parent, type_annotation=annotation)
 
-    def _inside(self, target: ast.expr) -> None:
+    def _inside(self, goal: ast.expr) -> None:
         """Reads within a target."""
-        if isinstance(target, (ast.Tuple, ast.List)):
-            for t in target.elts:
-                self._inside(t)
-        elif isinstance(target, ast.Subscript):
-            self.visit(target.value)
-            self.visit(target.slice)
-        elif isinstance(target, ast.Attribute):
-            self.visit(target.value)
+        match goal:
+            case ast.Tuple() | ast.List():
+                for t in goal.elts:
+                    self._inside(t)
+            case ast.Subscript(value=base, slice=at):
+                self.visit(base)
+                self.visit(at)
+            case ast.Attribute(value=base):
+                self.visit(base)
 
     def _value(self, target: ast.expr, value: ast.expr) -> None:
         if isinstance(target, ast.Name):
@@ -293,9 +299,10 @@ class _Reader(ast.NodeVisitor):
 
 
 def _main_check(test: ast.expr) -> bool:
-    if not (isinstance(test, ast.Compare) and isinstance(test.left, ast.Name) and test.left.id == "__name__"):
-        return False
-    return any(isinstance(op, ast.Eq) and isinstance(c, ast.Constant) and c.value == "__main__" for op, c in zip(test.ops, test.comparators))
+    match test:
+        case ast.Compare(left=ast.Name(id="__name__"), ops=ops, comparators=others):
+            return any(isinstance(o, ast.Eq) and isinstance(c, ast.Constant) and c.value == "__main__" for o, c in zip(ops, others))
+    return False
 
 
 def _marks(tree: ast.AST, out: Parsed) -> None:

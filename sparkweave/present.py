@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import locale
 import os
+from locale import getlocale
 from typing import Any
 
 MESSAGES = {
@@ -24,7 +24,7 @@ MESSAGES = {
 def language(name: str) -> str:
     """A message language; ``system`` follows the locale; an unknown one is English."""
     if name == "system":
-        name = os.environ.get("LC_ALL") or os.environ.get("LANG") or (locale.getlocale()[0] or "")
+        name = os.environ.get("LC_ALL") or os.environ.get("LANG") or (getlocale()[0] or "")
     return "zh_CN" if name.lower().replace("-", "_").startswith("zh") else "en"
 
 
@@ -36,7 +36,7 @@ class Text:
         return self.table.get(key, key).format(**values)
 
 
-def volume(graphs: list[dict], json_output: bool = False, output_limit: int = 8000, detail_level: str = "auto", low: int = 3000, high: int = 8000) -> tuple[str, int]:
+def volume(graphs: list[dict], json_output: bool = False, detail_level: str = "auto", output_limit: int = 8000, low: int = 3000, high: int = 8000) -> tuple[str, int]:
     """``(mode, left out)``: full, index or truncated, by the length that the summaries would have."""
     if json_output or detail_level == "full":
         return "full", 0

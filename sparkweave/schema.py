@@ -19,9 +19,9 @@ SNAPSHOTS = (
 MEMBERS = "component_id long, node_id long"
 
 #: A read of one of these is a use, like a call.
-PROMOTED = ("function", "class", "method", "property", "event", "indexer", "enum", "enum_member", "struct", "record", "delegate", "macro", "type", "union")
+PROMOTED = tuple("class delegate enum enum_member event function indexer macro method property record struct type union".split())
 #: Kinds that a genuine module-level use keeps alive in a live file.
-MODULE_KINDS = ("macro", "type", "struct", "enum", "union")
+MODULE_KINDS = ("enum", "macro", "struct", "type", "union")
 VARIABLES = ("variable", "field")
 WARN_TYPES = ("unused_import", "circular_ref", "syntax_error", "write_only", "dead_code", "unused_variable", "file_too_large", "dynamic_import", "deprecated_usage", "type_mismatch", "unresolved_ref")
 SEVERITIES = ("error", "warning", "info")

@@ -21,7 +21,7 @@ BROADCAST_PROJECTS = 100_000
 def _read(path: str) -> str:
     with open(path, "rb") as f:
         data = f.read()
-    for code in ("utf-16",) if data[:2] in (b"\xff\xfe", b"\xfe\xff") else ("utf-8-sig", "latin-1"):
+    for code in ("utf-16",) if data[:2] in (b"\xff\xfe", b"\xfe\xff") else ("utf_8_sig", "latin_1"):
         try:
             return data.decode(code)
         except UnicodeDecodeError:

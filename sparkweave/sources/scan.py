@@ -13,7 +13,7 @@ from sparkweave.functions.names import base_name, folders
 from sparkweave.operators.rules import any_glob, glob
 from sparkweave.parse import LANGUAGES, registered
 
-COMMON_EXCLUDES = ("node_modules", ".git", ".svn", ".hg", ".idea", ".vscode", ".vs", META, "build", "dist")
+COMMON_EXCLUDES = ("build", "dist", META, *".git .hg .idea .svn .vs .vscode node_modules".split())
 
 
 def extension_column(path: Column) -> Column:
@@ -64,7 +64,8 @@ def scan(spark: SparkSession, root: str, config: dict, compat: bool = False) ->
     prefix = base if "://" in base else "file:" + base
     rel = F.regexp_replace("path", f"^(file:/*)?{_quoted(base if '://' not in base else prefix)}/", "")
     user = [] if compat else config.get("exclude_patterns", {}).get("user_exclude", [])
-    most = int(float(config.get("performance", {}).get("max_file_size_mb", 10)) * 1024 * 1024)
+    limits = config.get("performance") or {}
+    most = int(float(limits.get("max_file_size_mb", 10)) * 1024 * 1024)
     at = raw.withColumn("path", rel).withColumn("lang", language_column(F.col("path"))).where(F.col("lang").isNotNull() & ~excluded_column(F.col("path"), user))
     return at.select(
         "path", "lang", F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("hash"), test_column(F.col("path"), config.get("test_patterns", {})).alias("is_test"),
@@ -76,7 +77,7 @@ def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def listing(root: str, config: dict, compat: bool = False) -> list[tuple[str, int]]:
+def listing(root: str, config: dict, compat: bool = False) -> list:
     """``(path, mtime in ns)`` as the file system has them now; symbolic links to folders are not followed."""
     names = set(COMMON_EXCLUDES).union(*(LANGUAGES[x].EXCLUDES for x in registered()))
     known = {e for x in registered() for e in LANGUAGES[x].EXTENSIONS}

@@ -2,6 +2,7 @@
 
 import json
 import os
+from pathlib import Path
 
 import pytest
 
@@ -20,9 +21,8 @@ GOLDEN = {
 def write(root, files):
     for name, text in files.items():
         path = os.path.join(root, name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(text if isinstance(text, bytes) else text.encode())
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_bytes(text if isinstance(text, bytes) else text.encode())
 
 
 def index(spark, root):
@@ -175,7 +175,7 @@ def test_configuration(tmp_path):
     assert api.configure("show", root_dir=root)["config"]["version"] == 1
     assert api.configure("set", key="performance.max_file_size_mb", value="3", root_dir=root)["status"] == "ok"
     assert api.configure("get", key="performance.max_file_size_mb", root_dir=root)["value"] == 3
-    rule = {"name": "mine", "file_pattern": "**/*.py", "ast_pattern": "function_def:serve_*"}
+    rule = {"ast_pattern": "function_def:serve_*", "name": "mine", "file_pattern": "**/*.py"}
     assert api.configure("add-entry-rule", rule_json=json.dumps(rule), root_dir=root)["status"] == "ok"
     assert api.configure("add-entry-rule", rule_json="{", root_dir=root)["status"] == "error"
     assert any(r["name"] == "mine" for r in Config(root).load()["entry_rules"])

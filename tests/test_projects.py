@@ -5,8 +5,8 @@ from test_project import index, warnings, write
 from sparkweave import api
 from sparkweave.sources import projects
 
-LIB = '<Project Sdk="Microsoft.NET.Sdk"><PropertyGroup><TargetFramework>net8.0</TargetFramework><RootNamespace>My.Lib</RootNamespace></PropertyGroup></Project>'
-TESTS = '<Project><ItemGroup><PackageReference Include="Microsoft.NET.Test.Sdk" /></ItemGroup></Project>'
+LIB = '<Project><PropertyGroup><TargetFramework>net8.0</TargetFramework><RootNamespace>My.Lib</RootNamespace></PropertyGroup></Project>'
+TESTS = '<Project><ItemGroup><PackageReference Include="xunit" Version="2" /></ItemGroup></Project>'
 
 
 def test_project_files(tmp_path):

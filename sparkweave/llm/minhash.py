@@ -1,12 +1,12 @@
 """Near-duplicate documents by HyperMinHash.
 
-The distinct 3-word shingles of a text are thrown into 240 buckets by a hash; a bucket keeps the least of the hash
+The distinct 3-word shingles of a text are thrown into 192 buckets by a hash; a bucket keeps the least of the hash
 values it gets. Shingles are thrown again, with other hashes, for the buckets that are still empty, and in the end each
 remaining bucket takes the least over all shingles; so every bucket of every text is filled and two texts agree
 in a bucket with the probability of their Jaccard coefficient, at a cost of the shingles plus a constant. (Buckets left empty would
 make bands of short texts that share one passage agree.)
 A bucket is stored as a 16-bit register: its count of leading zeros (6 bits) and the 10 bits after the first one.
-Bands of 5 registers are the candidate keys; pairs that share a band are screened with the
+Bands of 4 registers (48 of them: a pair at the least coefficient shares one with the probability 0.95) are the candidate keys; pairs that share a band are screened with the
 collision-corrected Jaccard estimate of their registers and then verified on the texts, with the exact Jaccard coefficient.
 """
 
@@ -22,7 +22,7 @@ from sparkweave.llm.textarrays import groups, mix, words_of
 from sparkweave.session import small_batches, written
 
 #: Words of a shingle, least Jaccard coefficient, registers, registers of a band, mantissa bits.
-SHINGLE, LEAST, REGISTERS, BAND, MANTISSA = 3, 0.55, 240, 5, 10
+SHINGLE, LEAST, REGISTERS, BAND, MANTISSA = 3, 0.5, 192, 4, 10
 #: Throws at random before each empty bucket is filled for itself.
 THROWS = 12
 #: Ids of documents to verify that are broadcast; more are joined by a shuffle.

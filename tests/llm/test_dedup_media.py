@@ -73,6 +73,19 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_half_the_shingles_make_a_near_duplicate(spark):
+    """The numbers are written out, so that the module's can't move along."""
+    assert minhash.LEAST == 0.5 and 1 - (1 - 0.5**minhash.BAND) ** (minhash.REGISTERS // minhash.BAND) >= 0.95
+    texts = {}
+    for k in range(200):  # 100 words, the last 32 replaced: 66 shingles of 130 in common
+        base = [f"p{k}w{i}" for i in range(100)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(base[:68] + [f"q{k}w{i}" for i in range(32)])
+    a, b = shingles(texts[0]), shingles(texts[1])
+    assert 0.5 <= len(a & b) / len(a | b) < 0.55
+    got = {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(200)) >= 180
+
+
 def test_shingles_are_those_of_the_words():
     texts = list(copies(2).values())[:60] + ["", "a", "a b", "a b c", "a b a b a b"]
     doc, h = minhash.shingles(texts)

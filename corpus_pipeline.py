@@ -27,7 +27,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed stream, in order, as long as there are sources to mix."""
+    """All documents, in mixed order."""
     return mixing.mixed_documents(docs)
 
 

@@ -123,17 +123,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", weights
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source: str = "source", **params) -> DataFrame:
-    """The documents in mixed order, as long as there are at least two sources to mix.
+    """The documents in mixed order; sources without a positive weight are left out, as in :func:`mix`.
 
-    What remains when only one source is left can't be mixed: it is the surplus that the source has over its
-    target weight, and is left out. A table with a single source is kept as it is. Columns are those of ``docs``.
-    Rows whose id repeats are placed together, at the first of their places.
+    What remains when only one source is left can't be mixed any more and stands at the end of the stream. Columns are
+    those of ``docs``. Rows whose id repeats are placed together, at the first of their places.
     """
-    placed = mix(docs, id_col, source, **params).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "phase", "slot", "position")
-    phases = placed.groupBy("phase").agg(F.count_distinct(F.coalesce("_source", F.lit("\0"))).alias("_sources")).collect()
-    alone = {r["phase"] for r in phases if r["_sources"] == 1 and r["phase"] > 0}
-    kept = placed.where(~F.col("phase").isin(sorted(alone))) if alone else placed
-    kept = kept.groupBy("_id").agg(F.min(F.struct("slot", "position")).alias("_at")).select("_id", F.col("_at.slot").alias("_slot"), F.col("_at.position").alias("_position"))
+    placed = mix(docs, id_col, source, **params).select(F.col("doc_id").alias("_id"), "slot", "position")
+    kept = placed.groupBy("_id").agg(F.min(F.struct("slot", "position")).alias("_at")).select("_id", F.col("_at.slot").alias("_slot"), F.col("_at.position").alias("_position"))
     columns = [docs[c] for c in docs.columns]
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_id"])).orderBy(kept["_slot"], kept["_position"]).select(*columns)
 

@@ -175,3 +175,11 @@ def test_mixed_documents_keep_what_can_be_mixed(spark):
     only = df.where("source = 'big'")
     assert mixing.mixed_documents(only, block=4).count() == 901
     assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_mixed_documents_leave_none_out(spark):
+    rows = [(k, "big", f"t{k}") for k in range(2000)] + [(5000, "one", "t"), (None, "big", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    place = {r["doc_id"]: (r["slot"], r["position"]) for r in mixing.mix(df, block=4, period=20).collect()}
+    kept = [r["doc_id"] for r in mixing.mixed_documents(df, block=4, period=20).collect()]
+    assert len(kept) == len(rows) and kept == sorted(place, key=place.get)

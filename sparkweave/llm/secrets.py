@@ -1,8 +1,10 @@
 """Secret scan by token efficiency.
 
 A byte-pair vocabulary spells text it has seen in few tokens and random strings in many. A candidate is a
-long run of key characters; known digests and identifiers are excluded; what is left and takes
-one token for every few characters is a secret.
+long run of key characters; known digests and identifiers, the host and plain path of a URL and e-mail addresses are excluded
+(user-info, queries, fragments and what follows a key word are not); what is left and takes one token for every few characters is a secret.
+A run of letters of one case may be a long word, which takes more tokens than a short one: without a key word before it, its longest piece
+counts, against a lower limit.
 """
 
 from __future__ import annotations
@@ -18,13 +20,23 @@ from pyspark.sql import functions as F
 
 from sparkweave.session import small_batches
 
-#: Folder of the vocabulary files; the vocabulary; the most characters a token of a random string.
-TOKENIZERS, VOCABULARY, MOST = "/opt/tokenizers", "byte_bpe_50k.tiktoken", 2.4
+#: Folder of the vocabulary files; the vocabulary; the most characters a token of a random string, and of random letters of one case.
+TOKENIZERS, VOCABULARY, MOST, MOST_WORD = "/opt/tokenizers", "byte_bpe_50k.tiktoken", 2.4, 1.8
 
 _CHARS = r"A-Za-z0-9+/_\-"
-#: A run of 16 key characters or more that has a digit, or the fixed start of a well-known kind of key.
-CANDIDATE = rf"(?<![{_CHARS}])(?:(?=[A-Za-z+/_\-]*[0-9])[{_CHARS}]{{16,}}={{0,2}}|(?:AKIA|ASIA)[A-Z0-9]{{16}})"
-_KEY = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|credential|auth|bearer|(?:api|access|private)[_-]?key)[\"']?\s*[:=]?\s*[\"']?$")
+#: A run of 16 key characters or more.
+CANDIDATE = rf"(?<![{_CHARS}])[{_CHARS}]{{16,}}={{0,2}}"
+_NAMES = r"(?:token|secret|passw(?:or)?d|pwd|credential|auth|bearer|(?:api|access|private)[_-]?key)"
+_KEY = re.compile(rf"(?i){_NAMES}[\"']?\s*[:=]?\s*[\"']?$")
+_ASSIGNED = re.compile(rf"(?i){_NAMES}[\"']?\s*[:=]\s*[\"']?$")
+_PATH_KEY = re.compile(rf"(?i){_NAMES}s?[=:/]+")
+#: The part of a URL before a run; the rest of its user-info; a domain after ``@``; the rest of a domain.
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s\"'<>`]*)$")
+_INFO = re.compile(r"[^\s\"'<>`/?#@]*@")
+_AT = re.compile(r"@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
+_DOMAIN = re.compile(r"(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
+#: A well-known kind of key that may have no digit.
+_FIXED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}")
 _DIGEST = re.compile(r"(?i)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 _PART = re.compile(r"[A-Z]?[a-z]{1,15}\d{0,4}|[A-Z]{1,8}\d{0,4}|\d{1,8}|")
@@ -41,27 +53,56 @@ def encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _span(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The part of a run that may be a secret by where it stands; None for the host or plain path of a URL and for e-mail addresses."""
+    if text.startswith("//", start) and text[start - 1 : start] == ":":
+        start += 2
+    url = _URL.search(text[max(0, start - 2000) : start])
+    if url and not re.search("[?#]", url[1]):
+        if "/" not in url[1] and "@" not in url[1] and (":" in url[1] or "/" not in text[start:end]) and _INFO.match(text, end):
+            return start, end
+        keys = [start - len(url[1]) + m.end() for m in _PATH_KEY.finditer(url[1] + text[start:end])]
+        if not keys or keys[-1] < start:
+            return None
+        stop = text.find("/", keys[-1], end)
+        return keys[-1], end if stop < 0 else stop
+    if _AT.match(text, end) and not _ASSIGNED.search(text[max(0, start - 40) : start]):
+        return None
+    if text[start - 1 : start] == "@" and re.match(r"[\w.%+\-]", text[max(0, start - 2) : start]) and _DOMAIN.match(text, end):
+        return None
+    return start, end
+
+
 def _excluded(text: str, start: int, end: int, known: frozenset[str]) -> bool:
     s = text[start:end]
     if s in known or s.isdigit() or _UUID.fullmatch(s):
         return True
-    if text[end : end + 1] == "@" or text[start - 1 : start] == "@" or re.search(r"\w://\S*$", text[max(0, start - 300) : start]):
-        return True
     if _DIGEST.fullmatch(s):  # a digest, unless the text says that it is a key
         return not _KEY.search(text[max(0, start - 40) : start])
     words = re.split(r"[_\-/+]|(?<=[a-z])(?=[A-Z])", s.rstrip("="))
     return len(words) < len(s) / 3 and all(_PART.fullmatch(w) for w in words)
 
 
+def _one_case(s: str) -> bool:
+    """Whether all pieces are of letters only, each upper, lower or capitalised."""
+    return all(w.isupper() or w[1:].islower() or len(w) < 2 for w in re.split(r"[_\-/+=]", s)) and not re.search(r"\d", s)
+
+
 def find_secrets(text: str | None, path: str, most: float = MOST, known: frozenset[str] = frozenset()) -> list[tuple[int, int, float]]:
     """``(start, end, characters a token)`` of each secret of a text, in characters."""
     out = []
     for m in _RUN.finditer(text or ""):
-        if not _excluded(text, m.start(), m.end(), known):
-            s = m.group()
-            tokens = sum(len(encoding(path).encode_ordinary(s[i : i + 10_000])) for i in range(0, len(s), 10_000))
-            if len(s) / tokens < most:
-                out.append((m.start(), m.end(), len(s) / tokens))
+        span = _span(text, m.start(), m.end())
+        if not span or span[1] - span[0] < 16 or _excluded(text, *span, known):
+            continue
+        s, limit = text[span[0] : span[1]], most
+        if _one_case(s) and not _FIXED.fullmatch(s) and not _ASSIGNED.search(text[max(0, span[0] - 40) : span[0]]):
+            s, limit = max(re.split(r"[_\-/+=]", s), key=len), min(most, MOST_WORD)
+            if len(s) < 16:
+                continue
+        tokens = sum(len(encoding(path).encode_ordinary(s[i : i + 10_000])) for i in range(0, len(s), 10_000))
+        if len(s) / tokens < limit:
+            out.append((*span, len(s) / tokens))
     return out
 
 

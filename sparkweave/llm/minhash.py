@@ -140,6 +140,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    # Only the ids that repeat are grouped, so that no other text is shuffled.
+    twice = written(slim.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    n = twice.count()
+    if n:
+        some = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+        slim = slim.join(some, "id", "left_anti").union(slim.join(some, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
 
     def sketches(batches):
         for b in batches:

@@ -86,6 +86,12 @@ def test_half_the_shingles_make_a_near_duplicate(spark):
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(200)) >= 180
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    df = spark.createDataFrame([(3, "a b c"), (5, "a b c"), (5, "z unique text"), (7, "Z unique text!")], "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(df).collect()} == {3: 3, 5: 5, 7: 5}
+    assert sorted(r["doc_id"] for r in minhash.without_duplicates(df).collect()) == [3, 5, 5]
+
+
 def test_shingles_are_those_of_the_words():
     texts = list(copies(2).values())[:60] + ["", "a", "a b", "a b c", "a b a b a b"]
     doc, h = minhash.shingles(texts)

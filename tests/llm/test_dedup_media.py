@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import plain_flac
 import pytest
 
 from sparkweave.llm import flac, minhash, spherical
@@ -181,43 +182,81 @@ def wave(n, channels, bits, seed=0):
     return x
 
 
+def decoded(stream):
+    return next(flac.decode_many([stream]))
+
+
+def plainly(stream):
+    """What the plain decoder says, in the form of the batch decoder."""
+    try:
+        _, blocks, wrong = plain_flac.decode(stream)
+    except plain_flac.FlacError as e:
+        return [], str(e)
+    return [tuple(b[c] for c in ("first_sample", "n_samples", "channels", "bits", "rate", "byte_offset", "crc_ok", "pcm")) for b in blocks], wrong
+
+
 @pytest.mark.parametrize("bits", [8, 12, 16, 24])
 @pytest.mark.parametrize("kind,order", [("fixed", 0), ("fixed", 1), ("fixed", 3), ("fixed", 4), ("lpc", 1), ("lpc", 8), ("lpc", 20), ("verbatim", 0)])
 def test_round_trip(bits, kind, order):
     for stereo in (0, 8, 9, 10):
         x = wave(700, 2, bits)
-        info, blocks, wrong = flac.decode(flac.encode(x, bits=bits, kind=kind, order=order, stereo=stereo, parts=3, block=160))
+        info, blocks, wrong = decoded(plain_flac.encode(x, bits=bits, kind=kind, order=order, stereo=stereo, parts=3, block=160))
         assert wrong is None and (info.bits, info.channels, info.samples) == (bits, 2, 700)
-        assert [b["first_sample"] for b in blocks] == [0, 160, 320, 480, 640]
-        assert b"".join(b["pcm"] for b in blocks) == flac.pcm(x, bits)
+        assert [b[0] for b in blocks] == [0, 160, 320, 480, 640]
+        assert b"".join(b[7] for b in blocks) == plain_flac.pcm(x, bits)
+
+
+def test_whole_and_damaged_streams_side_by_side_equal_the_plain_decoder(monkeypatch):
+    rng = np.random.default_rng(4)
+    streams = [plain_flac.encode(np.full((6400, 1), -5), kind="constant", block=16), plain_flac.encode(wave(100, 5, 16), block=40), plain_flac.encode(wave(9000, 1, 16), block=4096, parts=4)]
+    for k in range(30):
+        kind, order = (("fixed", k % 5), ("lpc", 1 + k), ("verbatim", 0))[k % 3]
+        streams.append(plain_flac.encode(wave(500 + k, 2, (8, 16, 24)[k % 3], k), bits=(8, 16, 24)[k % 3], kind=kind, order=order, stereo=(0, 8, 9, 10)[k % 4], block=128, parts=k % 4))
+    loud = np.zeros((256, 1), np.int64)
+    loud[100] = 30000  # a Rice code of hundreds of bits
+    streams.append(plain_flac.encode(loud, block=128, order=1, parts=0))
+    for s in list(streams):
+        hurt = bytearray(s)
+        for _ in range(3):
+            hurt[rng.integers(0, len(hurt))] ^= 1 << int(rng.integers(0, 8))
+        streams += [bytes(hurt), s[: rng.integers(0, len(s))], s + b"junk", s[:60] + bytes(40) + s[60:]]
+    want = [plainly(s) for s in streams]
+    assert [x[1:] for x in flac.decode_many(streams)] == want
+    monkeypatch.setattr(flac, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(flac, "CELLS", 500)
+    assert [x[1:] for x in flac.decode_many(streams)] == want
+
+
+def test_clips_of_the_query():
+    x = (np.random.default_rng(2).standard_normal((6, 150, 2)) * 3000).astype(np.int64)
+    x[0] = 7
+    x[1, 20] = 32767
+    for kind, order in (("fixed", 1), ("fixed", 2), ("lpc", 4), ("verbatim", 0)):
+        for stereo in (0, 8, 9, 10):
+            for k, s in enumerate(flac.encode_clips(x, block=64, kind=kind, order=order, stereo=stereo)):
+                blocks, wrong = plainly(s)
+                assert wrong is None and len(blocks) == 3 and b"".join(b[7] for b in blocks) == x[k].astype("<i2").tobytes()
 
 
 def test_constant_one_channel_and_many_frames():
     x = np.full((400 * 16, 1), -5)
-    _, blocks, wrong = flac.decode(flac.encode(x, kind="constant", block=16))
-    assert wrong is None and len(blocks) == 400 and blocks[399]["first_sample"] == 399 * 16
+    _, blocks, wrong = decoded(plain_flac.encode(x, kind="constant", block=16))
+    assert wrong is None and len(blocks) == 400 and blocks[399][0] == 399 * 16
 
 
 def test_crcs():
-    assert flac.crc8(b"123456789") == 0xF4 and flac.crc16(b"123456789") == 0xFEE8
-
-
-def test_rice_equals_bit_by_bit():
-    rng = np.random.default_rng(5)
-    for k in range(0, 12):
-        v = (rng.standard_normal(500) * 2**k * 1.5).astype(np.int64)
-        w = flac._Writer()
-        w.put(5, 3)
-        w.rice(v, k)
-        w.put(9, 7)
-        b = flac._Bits(w.data())
-        assert b.take(3) == 5 and (b.rice(500, k) == v).all() and b.take(7) == 9
+    one = np.frombuffer(b"..123456789", np.uint8)
+    assert flac.crc8s(one, np.array([2]), np.array([11])) == [0xF4] and flac.crc16s(one, np.array([2]), np.array([11])) == [0xFEE8]
+    buf = np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
+    start, end = np.array([0, 5, 100, 7, 900]), np.array([3000, 69, 100, 1000, 2500])
+    assert flac.crc16s(buf, start, end).tolist() == [plain_flac.crc16(buf[a:b].tobytes()) for a, b in zip(start, end)]
+    assert flac.crc8s(buf, start, end).tolist() == [plain_flac.crc8(buf[a:b].tobytes()) for a, b in zip(start, end)]
 
 
 def test_damage_and_odd_rows(spark):
     x = wave(600, 2, 16)
-    good = flac.encode(x, block=200)
-    _, blocks, _ = flac.decode(good)
+    good = plain_flac.encode(x, block=200)
+    _, blocks, _ = plain_flac.decode(good)
     hurt = bytearray(good)
     hurt[blocks[1]["byte_offset"] + 40] ^= 8
     cut = good[: blocks[2]["byte_offset"] + 20]
@@ -226,7 +265,7 @@ def test_damage_and_odd_rows(spark):
     out = {}
     for r in flac.decode_media(df).collect():
         out.setdefault(r["media_id"], []).append(r)
-    whole = flac.pcm(x, 16)
+    whole = plain_flac.pcm(x, 16)
     for k in (None, 9):
         assert b"".join(bytes(r["pcm"]) for r in sorted(out[k], key=lambda r: r["first_sample"])) == whole and out[k][0]["error"] is None
     assert len(out[1]) == 6

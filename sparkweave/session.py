@@ -94,3 +94,11 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores in front as it takes to be none of the columns (whose case doesn't matter)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -13,14 +13,14 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     Turns are sorted by (turn, role, text), so ties and repeated rows give one defined order;
     a null turn sorts first, a null role is ``user`` and a null text is empty. Adjacent turns of one role
-    become one message, joined by a newline. Markers inside a text are broken with a zero-width space, so a
-    text cannot open or close a message. Rows with a null conversation id form one conversation of their own.
+    become one message, joined by a newline. Markers inside a text or a role are broken with a zero-width space, so
+    neither can open or close a message. Rows with a null conversation id form one conversation of their own.
     An empty table gives an empty result; further columns are ignored.
     """
-    safe = F.coalesce(F.col(text), F.lit(""))
+    safe, who = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(role), F.lit("user"))
     for mark in (start, end):
-        safe = F.replace(safe, F.lit(mark), F.lit(mark[:1] + "​" + mark[1:]))
-    item = F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"), safe.alias("text"))
+        safe, who = (F.replace(c, F.lit(mark), F.lit(mark[:1] + "​" + mark[1:])) for c in (safe, who))
+    item = F.struct(F.col(turn).cast("long").alias("turn"), who.alias("role"), safe.alias("text"))
     sorted_turns = turns.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(item)).alias("_turns"))
     # Break points first, then one slice per message: linear in the turns, where folding into a growing array would not be.
     n = F.size("_turns")
@@ -38,7 +38,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
 
 ORACLE = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role,
+WITH t AS (SELECT conv_id, turn, replace(replace(coalesce(role, 'user'), '{START}', '<' || chr(8203) || '|im_start|>'), '{END}', '<' || chr(8203) || '|im_end|>') AS role,
                   replace(replace(coalesce(text, ''), '{START}', '<' || chr(8203) || '|im_start|>'), '{END}', '<' || chr(8203) || '|im_end|>') AS text FROM conversations),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
 b AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY k) = role THEN 0 ELSE 1 END AS head FROM o),

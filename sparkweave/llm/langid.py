@@ -42,7 +42,9 @@ def _grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     k1, k2, k3 = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
     one = pad[:-2] * k1
     two = one ^ (pad[1:-1] * k2 + np.uint32(0x27D4EB2F))
-    three = two ^ (pad[2:] * k3 + np.uint32(0x165667B1))
+    third = pad[2:].copy()
+    third[np.maximum(0, offsets[1:] - 2)] = 32  # the last character of a text, so that none is seen with the next text's first
+    three = two ^ (third * k3 + np.uint32(0x165667B1))
     shift = np.uint32(32 - int(BUCKETS).bit_length() + 1)
     return [((g ^ (g >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> shift for g in (one, two, three)], letter, offsets
 
@@ -154,7 +156,7 @@ def identify_texts(model: dict, texts: list[str | None]) -> tuple[list[str], lis
 
 
 def training_sample(docs: DataFrame, id_col: str, text: str, lang: str, per_language: int) -> tuple[list[str], list[str]]:
-    """Up to ``per_language`` labelled documents of each language, those with the lowest hash of the id."""
+    """Up to ``per_language`` labelled documents of each language, those with the lowest hash of the id; of rows that repeat an id and a language the greatest text is taken."""
     from pyspark.sql import Window
 
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang).alias("_lang")).where("_lang is not null and _id is not null")
@@ -168,7 +170,7 @@ def training_sample(docs: DataFrame, id_col: str, text: str, lang: str, per_lang
     picked = low.withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))).where(F.col("_k") <= per_language).select("_id", "_lang")
     ids = [(r["_id"], r["_lang"]) for r in picked.collect()]  # bounded by per_language times the languages
     table = F.broadcast(docs.sparkSession.createDataFrame(ids, "_id long, _lang string"))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).join(table, "_id").where("_text is not null").orderBy("_id", "_text").toPandas()
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).join(table, "_id").where("_text is not null").groupBy("_id", "_lang").agg(F.max("_text").alias("_text")).orderBy("_id", "_lang").toPandas()
     return list(rows["_text"]), list(rows["_lang"])
 
 

@@ -17,7 +17,8 @@ import heapq
 import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.llm.ranks import ranked
@@ -126,7 +127,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source: str = "sour
     """The documents in mixed order; sources without a positive weight are left out, as in :func:`mix`.
 
     What remains when only one source is left can't be mixed any more and stands at the end of the stream. Columns are
-    those of ``docs``. Rows whose id repeats are placed together, at the first of their places.
+    those of ``docs``. Rows whose id repeats are placed together, at the first of their places; rows with a null id too. An empty table
+    gives an empty one.
     """
     placed = mix(docs, id_col, source, **params).select(F.col("doc_id").alias("_id"), "slot", "position")
     kept = placed.groupBy("_id").agg(F.min(F.struct("slot", "position")).alias("_at")).select("_id", F.col("_at.slot").alias("_slot"), F.col("_at.position").alias("_position"))
@@ -134,6 +136,27 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source: str = "sour
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_id"])).orderBy(kept["_slot"], kept["_position"]).select(*columns)
 
 
+def with_places(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the place of each row in its stream, from 0 on, in a new column.
+
+    A table that was written in mixed order and read again is in the order of its files and their rows; any other DataFrame in that of its
+    partitions. Places grow along the stream, whatever tasks read it; rows that were filtered out leave gaps.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        at = docs.select("*", meta["file_path"].alias(name + "_f"), meta["row_index"].alias(name + "_r"))
+    except AnalysisException:  # not a table of files
+        both = docs.select("*", F.monotonically_increasing_id().alias(name + "_r"))
+        return both.withColumnRenamed(name + "_r", name)
+    sizes = at.groupBy(name + "_f").agg((F.max(name + "_r") + 1).alias("_n"))
+    number = F.regexp_extract(name + "_f", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(number.asc_nulls_first(), F.col(name + "_f")).rowsBetween(Window.unboundedPreceding, -1)  # over one row a file
+    starts = sizes.select(F.col(name + "_f").alias(name + "_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(name + "_b"))
+    starts = F.broadcast(starts) if len(docs.inputFiles()) <= BROADCAST_ROWS else starts
+    placed = at.join(starts, F.col(name + "_f") == F.col(name + "_g")).withColumn(name, F.col(name + "_b") + F.col(name + "_r"))
+    return placed.drop(*(name + x for x in ("_f", "_g", "_b", "_r")))
+
+
 def deviation(parts: list[int]) -> Fraction:
     """Largest |blocks emitted - weight * slots| over a period, for tests."""
     period, worst = sum(parts), Fraction(0)

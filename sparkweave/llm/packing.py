@@ -1,24 +1,25 @@
 """Packing by best-fit decreasing, exact over the whole table at any size.
 
 Best-fit decreasing looks at lengths only. The lengths are integers up to the window
-capacity, so a table of any size has at most ``capacity`` distinct ones: the driver gets
+capacity, so a table of any size has at most ``capacity`` distinct ones: one task gets
 their counts, runs best-fit decreasing on runs of equal pieces and equal windows, and
 returns intervals "pieces of length L with ranks [lo, hi) go, m at a time, to windows from b on".
-The pieces then find their windows by a join on (length, rank).
+The pieces then find their windows by a join on (length, rank). A mixed stream is packed in sections, one
+after the other, so that its order remains.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.llm.ranks import ranked
 from sparkweave.session import written
 
-#: Words a window holds.
-CAPACITY = 2048
+#: Words a window holds; documents of a section of a stream.
+CAPACITY, SECTION = 2048, 65_536
 #: More intervals than this are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -103,7 +104,21 @@ def word_count(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def _intervals(counts):
+    """Best-fit decreasing on the counts of lengths of one section, for ``applyInPandas``."""
+
+    def run(section):
+        import pandas as pd
+
+        rows, opened = best_fit_decreasing(dict(zip(section["length"].tolist(), section["n"].tolist())), int(section["capacity"].iloc[0]))
+        out = pd.DataFrame(rows, columns=["of", "lo", "hi", "m", "first"])
+        out.insert(0, "part", section["section"].iloc[0])
+        return out.assign(opened=opened)
+
+    return counts.groupBy("section").applyInPandas(run, "part long, of int, lo long, hi long, m long, first long, opened long")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, order: str | None = None, section: int = SECTION) -> DataFrame:
     """One row per window: ``(window_id, used, n_pieces, doc_ids, starts, lengths)``.
 
     Lengths count words. A document longer than ``capacity`` is first cut into full windows and a rest. Pieces of one
@@ -111,19 +126,34 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
     ties do not change which windows arise. Null and blank texts have no words and are in no window; a null id is kept
     as null in the list. An empty table gives an empty result; further columns are ignored, whatever their names.
     The pieces of a window are listed longest first.
+
+    ``order``: a column of places in a stream (longs from 0 on, null: 0). The stream is then packed in sections of so many places, each for itself, windows are
+    numbered section after section, and pieces of one length are ranked by place: a stretch of windows has the documents of a
+    stretch of the stream. Without it the whole table is one section.
     """
-    spark = docs.sparkSession
-    # Counting reads the texts, so it is done once; all that follows works on two numbers a document.
-    lengths = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(text).alias("_n")).where("_n > 0"), "lengths")
+    # Counting reads the texts, so it is done once; all that follows works on a few numbers a document.
+    place = F.coalesce(F.col(order).cast("long"), F.lit(0)) if order else F.lit(0).cast("long")
+    lengths = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(text).alias("_n"), place.alias("place")).where("_n > 0"), "lengths")
     cuts = F.transform(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / capacity).cast("int")), lambda i: i * capacity)
-    pieces = lengths.withColumn("start", F.explode(cuts)).select("doc_id", "start", F.least(F.col("_n") - F.col("start"), F.lit(capacity)).alias("length"))
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    intervals, _ = best_fit_decreasing(counts, capacity)
-    table = spark.createDataFrame(intervals or [], "of int, lo long, hi long, m long, first long")
-    if len(intervals) <= BROADCAST_ROWS:
+    pieces = lengths.withColumn("start", F.explode(cuts)).select(
+        "doc_id", "start", F.least(F.col("_n") - F.col("start"), F.lit(capacity)).alias("length"), "place", F.floor(F.col("place") / section).alias("section"),
+    )
+    counts = pieces.groupBy("section", "length").agg(F.count(F.lit(1)).alias("n")).withColumn("capacity", F.lit(capacity))
+    table = written(_intervals(counts), "intervals")
+    opened = table.groupBy("part").agg(F.max("opened").alias("opened"))
+    before = F.coalesce(F.sum("opened").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over one row a section
+    bases = opened.select(F.col("part").alias("_part"), before.alias("base"))
+    small = table.count() <= BROADCAST_ROWS
+    table = table.join(F.broadcast(bases) if small else bases, F.col("part") == F.col("_part")).select("part", "of", "lo", "hi", "m", (F.col("first") + F.col("base")).alias("first"))
+    if small:
         table = F.broadcast(table)
-    order = ranked(pieces, "length", F.xxhash64("doc_id", "start"), ["doc_id", "start"], sum(counts.values()))
-    placed = order.join(table, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    classed = pieces.withColumn("class", F.col("section") * (capacity + 1) + F.col("length"))
+    if order:  # a class has the pieces of one section only, so it needs no buckets
+        numbered = ranked(classed, "class", F.col("place"), ["doc_id", "start"], 1)
+    else:
+        numbered = ranked(classed, "class", F.xxhash64("doc_id", "start"), ["doc_id", "start"], lengths.count())
+    on = (F.col("section") == F.col("part")) & (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    placed = numbered.join(table, on)
     item = F.struct((-F.col("length")).alias("k"), "rank", "doc_id", "start", "length")
     window = placed.select((F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("m"))).cast("long").alias("window_id"), item.alias("_p"))
     packed = window.groupBy("window_id").agg(F.sort_array(F.collect_list("_p")).alias("_p"))

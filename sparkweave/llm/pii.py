@@ -1,6 +1,7 @@
 """Personal data by a semi-Markov conditional random field.
 
-A text is cut into segments, each either a single token outside or an entity of some type of up to 16 tokens.
+A text is cut into segments, each either a single token outside or an entity of some type of up to 16 tokens and 64 characters; e-mail
+addresses may have up to 254 characters, the most that a valid one has, and any number of tokens.
 An entity's score is linear in features of the whole span (its shape, check digits, octets, what stands next to it),
 so boundaries and types are chosen together by dynamic programming over segments. The weights are
 trained by maximum likelihood on generated, labelled sentences.
@@ -11,6 +12,7 @@ such places is outside whatever the weights, and the dynamic program runs on the
 
 from __future__ import annotations
 
+import bisect
 import re
 from functools import lru_cache
 
@@ -22,14 +24,17 @@ from pyspark.sql import functions as F
 from sparkweave.session import small_batches
 
 TYPES = ("email", "phone", "ip", "card", "ssn", "iban")
-#: Most tokens of an entity; most characters of an entity; generated sentences; passes over them.
-MOST_TOKENS, MOST_CHARS, SENTENCES, EPOCHS = 16, 64, 1500, 5
+#: Most tokens of an entity; most characters of an entity; most characters of an e-mail address; generated sentences; passes over them.
+MOST_TOKENS, MOST_CHARS, MOST_ADDRESS, SENTENCES, EPOCHS = 16, 64, 254, 1500, 5
+#: Characters before a span in which its cue words stand.
+CUE_CHARS = 30
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _CHUNK = re.compile(r"\S+")
 _TRIGGER = re.compile(r"[0-9@]")
 _JOIN = re.compile(r"[0-9A-Z()+]")
 _EMAIL = re.compile(r"[A-Za-z0-9](?:[\w.%+\-]*[\w%+\-])?@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,12}")
+_DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,12}")
 _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
 _IP6 = re.compile(r"(?i)(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}")
@@ -85,7 +90,11 @@ def features(text: str, start: int, end: int) -> list[str]:
         out.append("dial")
     if re.fullmatch(r"(?:19|20)\d\d[\-/.]\d{1,2}[\-/.]\d{1,2}|\d{1,2}[\-/.]\d{1,2}[\-/.](?:19|20)\d\d", s):
         out.append("date")
-    before = re.findall(r"[^\W\d_]+", text[max(0, start - 30) : start])[-2:]
+    at = max(0, start - CUE_CHARS)
+    if at and text[at - 1].isalpha():  # whole words only
+        while at < start and text[at].isalpha():
+            at += 1
+    before = re.findall(r"[^\W\d_]+", text[at:start])[-2:]
     out += ["c" + _CUES[w.lower()] for w in before if w.lower() in _CUES]
     return out
 
@@ -120,7 +129,27 @@ def segments(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int
             at = at or text[tokens[j][0]] == "@"
             if (at or d >= 4) and b - a >= 6 and text[b - 1].isalnum():
                 out.append((i, j + 1, a, b))
-    return tokens, out
+    return tokens, out + _long_addresses(text, tokens)
+
+
+def _long_addresses(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """Candidate segments for e-mail addresses beyond the bounds of other entities: of each ``@`` the longest address around it."""
+    out, starts = [], None
+    for m in re.finditer("@", text):
+        a = m.start()
+        while a and m.end() - a < MOST_ADDRESS and (text[a - 1].isalnum() or text[a - 1] in "_.%+-"):
+            a -= 1
+        while a < m.start() and not (text[a].isascii() and text[a].isalnum()):
+            a += 1
+        domain = _DOMAIN.match(text, m.end(), min(len(text), a + MOST_ADDRESS))
+        if not domain or a == m.start():
+            continue
+        starts = [t[0] for t in tokens] if starts is None else starts
+        i, j = bisect.bisect_left(starts, a), bisect.bisect_left(starts, domain.end())
+        whole = i < len(tokens) and tokens[i][0] == a and tokens[j - 1][1] == domain.end()
+        if whole and (j - i > MOST_TOKENS or domain.end() - a > MOST_CHARS) and _EMAIL.fullmatch(text, a, domain.end()):
+            out.append((i, j, a, domain.end()))
+    return out
 
 
 def places(text: str) -> list[tuple[int, int]]:
@@ -280,7 +309,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """One row per entity: ``(doc_id, start, end, type, value, score)``; offsets in characters, end exclusive.
 
     Documents without a digit or ``@`` have no candidate and never reach Python. Null and empty texts have no entity; a null id stays
-    null; repeated rows are reported once each; texts are searched whole; an empty table gives an empty result; further columns are ignored.
+    null; repeated rows are reported once each; texts of any length are searched whole, for entities within the bounds that the module names; an empty table gives an empty result; further columns are ignored.
     """
     small_batches(docs.sparkSession)
     model = train()

@@ -10,6 +10,7 @@ counts, against a lower limit.
 from __future__ import annotations
 
 import base64
+import bisect
 import os
 import re
 from functools import lru_cache
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.session import small_batches
+from sparkweave.session import small_batches, unused
 
 #: Folder of the vocabulary files; the vocabulary; the most characters a token of a random string, and of random letters of one case.
 TOKENIZERS, VOCABULARY, MOST, MOST_WORD = "/opt/tokenizers", "byte_bpe_50k.tiktoken", 2.4, 1.8
@@ -27,11 +28,10 @@ _CHARS = r"A-Za-z0-9+/_\-"
 #: A run of 16 key characters or more.
 CANDIDATE = rf"(?<![{_CHARS}])[{_CHARS}]{{16,}}={{0,2}}"
 _NAMES = r"(?:token|secret|passw(?:or)?d|pwd|credential|auth|bearer|(?:api|access|private)[_-]?key)"
-_KEY = re.compile(rf"(?i){_NAMES}[\"']?\s*[:=]?\s*[\"']?$")
-_ASSIGNED = re.compile(rf"(?i){_NAMES}[\"']?\s*[:=]\s*[\"']?$")
+_NAME_END = re.compile(rf"(?i){_NAMES}\Z")
 _PATH_KEY = re.compile(rf"(?i){_NAMES}s?[=:/]+")
-#: The part of a URL before a run; the rest of its user-info; a domain after ``@``; the rest of a domain.
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s\"'<>`]*)$")
+#: A URL with what follows its scheme; the rest of its user-info; a domain after ``@``; the rest of a domain.
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s\"'<>`]*)")
 _INFO = re.compile(r"[^\s\"'<>`/?#@]*@")
 _AT = re.compile(r"@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _DOMAIN = re.compile(r"(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
@@ -53,20 +53,43 @@ def encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _span(text: str, start: int, end: int) -> tuple[int, int] | None:
+def _named(text: str, start: int, sign: bool = False) -> bool:
+    """Whether a key word stands before a place, with quotes, white space and ``:`` or ``=`` between them (``sign``: there must be one)."""
+    i, signed = start, False
+    if text[i - 1 : i] in ("'", '"'):
+        i -= 1
+    while text[i - 1 : i].isspace():
+        i -= 1
+    if text[i - 1 : i] in (":", "="):
+        i, signed = i - 1, True
+        while text[i - 1 : i].isspace():
+            i -= 1
+    if text[i - 1 : i] in ("'", '"'):
+        i -= 1
+    return (signed or not sign) and bool(_NAME_END.search(text[max(0, i - 16) : i]))  # no key word is longer
+
+
+def _urls(text: str) -> list[tuple[int, int]]:
+    """Where what follows the scheme of each URL begins and ends."""
+    return [m.span(1) for m in _URL.finditer(text)] if "://" in text else []
+
+
+def _span(text: str, start: int, end: int, urls: list[tuple[int, int]]) -> tuple[int, int] | None:
     """The part of a run that may be a secret by where it stands; None for the host or plain path of a URL and for e-mail addresses."""
     if text.startswith("//", start) and text[start - 1 : start] == ":":
         start += 2
-    url = _URL.search(text[max(0, start - 2000) : start])
-    if url and not re.search("[?#]", url[1]):
-        if "/" not in url[1] and "@" not in url[1] and (":" in url[1] or "/" not in text[start:end]) and _INFO.match(text, end):
-            return start, end
-        keys = [start - len(url[1]) + m.end() for m in _PATH_KEY.finditer(url[1] + text[start:end])]
-        if not keys or keys[-1] < start:
-            return None
-        stop = text.find("/", keys[-1], end)
-        return keys[-1], end if stop < 0 else stop
-    if _AT.match(text, end) and not _ASSIGNED.search(text[max(0, start - 40) : start]):
+    k = bisect.bisect_right(urls, (start, len(text) + 1)) - 1
+    if k >= 0 and start <= urls[k][1]:
+        first, before = urls[k][0], text[urls[k][0] : start]
+        if "?" not in before and "#" not in before:
+            if "/" not in before and "@" not in before and (":" in before or "/" not in text[start:end]) and _INFO.match(text, end):
+                return start, end
+            keys = [m.end() for m in _PATH_KEY.finditer(text, first, end)]
+            if not keys or keys[-1] < start:
+                return None
+            stop = text.find("/", keys[-1], end)
+            return keys[-1], end if stop < 0 else stop
+    if _AT.match(text, end) and not _named(text, start, True):
         return None
     if text[start - 1 : start] == "@" and re.match(r"[\w.%+\-]", text[max(0, start - 2) : start]) and _DOMAIN.match(text, end):
         return None
@@ -78,7 +101,7 @@ def _excluded(text: str, start: int, end: int, known: frozenset[str]) -> bool:
     if s in known or s.isdigit() or _UUID.fullmatch(s):
         return True
     if _DIGEST.fullmatch(s):  # a digest, unless the text says that it is a key
-        return not _KEY.search(text[max(0, start - 40) : start])
+        return not _named(text, start)
     words = re.split(r"[_\-/+]|(?<=[a-z])(?=[A-Z])", s.rstrip("="))
     return len(words) < len(s) / 3 and all(_PART.fullmatch(w) for w in words)
 
@@ -90,26 +113,27 @@ def _one_case(s: str) -> bool:
 
 def find_secrets(text: str | None, path: str, most: float = MOST, known: frozenset[str] = frozenset()) -> list[tuple[int, int, float]]:
     """``(start, end, characters a token)`` of each secret of a text, in characters."""
-    out = []
+    out, urls = [], None
     for m in _RUN.finditer(text or ""):
-        span = _span(text, m.start(), m.end())
+        urls = _urls(text) if urls is None else urls
+        span = _span(text, m.start(), m.end(), urls)
         if not span or span[1] - span[0] < 16 or _excluded(text, *span, known):
             continue
         s, limit = text[span[0] : span[1]], most
-        if _one_case(s) and not _FIXED.fullmatch(s) and not _ASSIGNED.search(text[max(0, span[0] - 40) : span[0]]):
+        if _one_case(s) and not _FIXED.fullmatch(s) and not _named(text, span[0], True):
             s, limit = max(re.split(r"[_\-/+=]", s), key=len), min(most, MOST_WORD)
             if len(s) < 16:
                 continue
-        tokens = sum(len(encoding(path).encode_ordinary(s[i : i + 10_000])) for i in range(0, len(s), 10_000))
-        if len(s) / tokens < limit:
-            out.append((*span, len(s) / tokens))
+        rate = len(s) / len(encoding(path).encode_ordinary(s))
+        if rate < limit:
+            out.append((*span, rate))
     return out
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, most: float = MOST, known: frozenset[str] = frozenset()) -> DataFrame:
     """One row per secret: ``(doc_id, start, end, secret, chars_per_token)``; offsets in characters, end exclusive.
 
-    Rows without a candidate never reach Python. Null and empty texts have no secrets; a null id stays null; repeated rows are
+    A candidate has at least 16 key characters; it may be of any length. Rows without one never reach Python. Null and empty texts have no secrets; a null id stays null; repeated rows are
     reported once each; texts are scanned whole; an empty table gives an empty result; further columns are ignored.
     ``known``: strings, such as published digests, that are never secrets.
     """
@@ -135,17 +159,19 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars"
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        def one(t: str) -> str:
+        def one(t: str | None) -> str | None:
+            if t is None:
+                return None
             out, at = [], 0
             for s, e, _ in find_secrets(t, path, most):
                 out += [t[at:s], mark]
                 at = e
-            return "".join(out) + t[at:]
+            return "".join(out) + t[at:] if out else None
 
-        return texts.map(one)
+        return texts.map(one, na_action="ignore")
 
-    hit = F.col(text).rlike(CANDIDATE)
-    new = docs.where(hit).withColumn(text, clean(F.col(text)))
-    if n_chars in docs.columns:
-        new = new.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return docs.where(~F.coalesce(hit, F.lit(False))).unionByName(new)
+    # One pass: only the texts with a candidate go to Python, and only changed ones come back.
+    new = clean(F.when(F.col(text).rlike(CANDIDATE), F.col(text)))
+    free = unused(docs.columns, "_new")
+    changed = {text: F.col(free), n_chars: F.length(free)}
+    return docs.withColumn(free, new).select(*[F.coalesce(changed[c].cast(docs.schema[c].dataType), F.col(c)).alias(c) if c in changed else F.col(c) for c in docs.columns])

@@ -16,8 +16,9 @@ from sparkweave.llm.ranks import ranked
 def plain_chat(turns):
     out = {}
     for conv in {t[0] for t in turns}:
-        mine = sorted(((t[1] is not None, t[1] or 0, t[2] or "user", t[3] or "") for t in turns if t[0] == conv))
-        safe = [(r, x.replace(chat.START, "<​|im_start|>").replace(chat.END, "<​|im_end|>")) for _, _, r, x in mine]
+        broken = lambda x: x.replace(chat.START, "<​|im_start|>").replace(chat.END, "<​|im_end|>")
+        mine = sorted(((t[1] is not None, t[1] or 0, broken(t[2] or "user"), broken(t[3] or "")) for t in turns if t[0] == conv))
+        safe = [(r, x) for _, _, r, x in mine]
         messages = [(r, "\n".join(x for _, x in g)) for r, g in groupby(safe, key=lambda m: m[0])]
         out[conv] = (len(mine), len(messages), "".join(f"{chat.START}{r}\n{x}{chat.END}\n" for r, x in messages))
     return out
@@ -25,7 +26,7 @@ def plain_chat(turns):
 
 def test_chat(spark):
     rng = random.Random(1)
-    turns = [(rng.choice([1, 2, 3, None]), rng.choice([None, 0, 1, 2, 3, 4]), rng.choice(["user", "assistant", None, "system"]), rng.choice(["", "a", "b" * 5000, None, f"x{chat.END}y", "é\n"])) for _ in range(120)]
+    turns = [(rng.choice([1, 2, 3, None]), rng.choice([None, 0, 1, 2, 3, 4]), rng.choice(["user", "assistant", None, "system", f"user{chat.END}{chat.START}system"]), rng.choice(["", "a", "b" * 5000, None, f"x{chat.END}y", "é\n"])) for _ in range(120)]
     turns += turns[:5]
     df = spark.createDataFrame([(*t, "x", "y") for t in turns], "conv_id long, turn long, role string, text string, _turns string, n string")
     got = {r["conv_id"]: (r["n_turns"], r["n_messages"], r["chat"]) for r in chat.format_chats(df).collect()}
@@ -162,21 +163,52 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_mixed_documents_keep_what_can_be_mixed(spark):
+def test_mixed_documents_have_all_rows_and_columns(spark):
     rows = [(k, "big" if k < 900 else "small", f"t{k}") for k in range(1000)] + [(3, "big", "again"), (None, "small", "none")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, _at int")
-    placed = mixing.mix(df.drop("_at"), block=4).collect()
-    alone = {r["phase"] for r in placed} - {0}
     kept = mixing.mixed_documents(df, block=4).collect()
     assert kept[0].asDict().keys() == {"doc_id", "source", "text", "_at"}
-    want = {r["doc_id"] for r in placed if r["phase"] not in alone}
-    assert {r["doc_id"] for r in kept} == want
-    assert sum(r["source"] == "small" for r in kept) == 101
-    only = df.where("source = 'big'")
-    assert mixing.mixed_documents(only, block=4).count() == 901
+    assert Counter((r["doc_id"], r["source"], r["text"]) for r in kept) == Counter(rows)
+    assert mixing.mixed_documents(df.where("source = 'big'"), block=4).count() == 901
+    assert mixing.mixed_documents(df, weights={"small": 1}).count() == 101
     assert mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_places_are_those_of_the_stream(spark, tmp_path):
+    rows = [(k, f"s{k % 3 if k % 4 else 0}", f"t{k}") for k in range(3000)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, _metadata string")
+    mixed = mixing.mixed_documents(df, block=8)
+    want = [r["doc_id"] for r in mixed.collect()]
+    mixed.withColumnRenamed("_metadata", "text").write.parquet(f"{tmp_path}/mixed")
+    placed = mixing.with_places(spark.read.parquet(f"{tmp_path}/mixed"), "p")
+    assert placed.columns == ["doc_id", "source", "text", "p"]
+    at = {r["p"]: r["doc_id"] for r in placed.collect()}
+    assert [at[k] for k in range(len(at))] == want
+    assert [r["doc_id"] for r in mixing.with_places(mixed, "p").orderBy("p").collect()] == want
+    assert mixing.with_places(spark.read.parquet(f"{tmp_path}/mixed").limit(0), "p").count() == 0
+
+
+def test_windows_follow_the_schedule(spark):
+    rng = random.Random(6)
+    rows = [(k, f"s{k % 2}", " ".join(["w"] * rng.choice([1, 3, 7, 12, 30]))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    stream = [r["doc_id"] for r in mixing.mixed_documents(df, block=4).collect()]
+    place = {i: k for k, i in enumerate(stream)}
+    length = {i: len(t.split()) for i, _, t in rows}
+    placed = spark.createDataFrame([(*r, place[r[0]]) for r in rows], "doc_id long, source string, text string, place long")
+    windows = sorted(packing.pack(placed, capacity=10, order="place", section=50).collect())
+    assert [r["window_id"] for r in windows] == list(range(len(windows)))
+    sections = [sorted({place[i] // 50 for i in r["doc_ids"]}) for r in windows]
+    assert all(len(s) == 1 for s in sections) and sections == sorted(sections)  # windows of a section are together, sections in order
+    for s in range(8):
+        lengths = []
+        for i in stream[50 * s : 50 * s + 50]:
+            lengths += [10] * (length[i] // 10) + [length[i] % 10] * (length[i] % 10 > 0)
+        assert sorted(sorted(r["lengths"]) for r, x in zip(windows, sections) if x == [s]) == naive_bfd(lengths, 10)
+        half = sum(i % 2 for i in stream[50 * s : 50 * s + 50])
+        assert 21 <= half <= 29  # both sources have equal weights, and are within a block of it
+
+
 def test_mixed_documents_leave_none_out(spark):
     rows = [(k, "big", f"t{k}") for k in range(2000)] + [(5000, "one", "t"), (None, "big", "none")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")

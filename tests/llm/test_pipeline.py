@@ -67,9 +67,8 @@ def test_stages(spark, corpus):
         assert r["text"] == t and r["n_chars"] == (None if t is None else len(t))
     assert set(rows[3]) == set(rows[2]) and not any("password=e3b3" in (r["text"] or "") for r in rows[3].values())
 
-    placed = mixing.mix(kept[3]).collect()
-    sources = {p: {r["source"] for r in placed if r["phase"] == p} for p in {r["phase"] for r in placed}}
-    assert set(rows[4]) == {r["doc_id"] for r in placed if r["phase"] == 0 or len(sources[r["phase"]]) > 1}
+    place = {r["doc_id"]: (r["slot"], r["position"]) for r in mixing.mix(kept[3]).collect()}
+    assert [r["doc_id"] for r in kept[4].collect()] == sorted(rows[3], key=place.get)
 
     lengths = []
     for r in rows[4].values():
@@ -82,6 +81,40 @@ def test_stages(spark, corpus):
     assert key(ran) == key(kept[5])
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id string, group_id int, _new string, _place int, slot int, key string, keep boolean, _at int, score double, class int"
+
+
+def test_stages_on_odd_rows(spark, corpus, tmp_path):
+    """Nulls everywhere, empty and very long texts, repeated rows, an empty table, and columns named as those the stages use."""
+    long = "plain words of a text " * 40_000
+    extra = ("x", 1, "new", 7, 2, "k", True, 3, 0.5, 4)
+    rows = [(1, "one two three four", "en", "a", 18, *extra), (1, "one two three four", "en", "a", 18, *extra), (2, "One two three four!", "en", None, 19, *extra), (None, None, None, None, None, *(None,) * 10),
+            (3, "", "en", "b", 0, *extra), (4, long, "en", "b", len(long), *extra), (5, "password=e3b3ed3cc8548923d6", None, "a", None, *extra), (None, "no id here at all", "en", "a", 17, *extra), (6, " \n ", "", "", 3, *extra)]
+    docs = spark.createDataFrame(rows, ODD)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = stage(spark, spark.read.parquet(f"{tmp_path}/{k}"), corpus)
+        if name != "packing":
+            assert docs.columns == [c.split()[0] for c in ODD.split(", ")]
+        if name == "minhash":
+            assert sorted((str(r["doc_id"]), (r["text"] or "")[:8]) for r in docs.collect()) == sorted([("1", "one two ")] * 2 + [("None", ""), ("3", ""), ("4", "plain wo"), ("5", "password"), ("None", "no id he"), ("6", " \n ")])
+        if name == "secrets":
+            assert {(r["doc_id"], r["text"], r["n_chars"], r["_new"]) for r in docs.where("doc_id in (1, 5)").collect()} == {(1, "one two three four", 18, "new"), (5, "password=[SECRET]", 17, "new")}
+    windows = docs.collect()
+    assert sum(r["used"] for r in windows) == 2 * 4 + 200_000 + 1 + 5
+    assert sorted(str(i) for r in windows for i in r["doc_ids"]) == sorted(["1", "1", "5", "None"] + ["4"] * -(-200_000 // packing.CAPACITY))
+
+
+def test_run_on_an_empty_table(spark, corpus, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{corpus}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, corpus)
+        assert out.columns == docs.columns and out.count() == 0
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="the test tables are not here")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries(spark, name):

@@ -150,13 +150,52 @@ def test_language(spark):
     assert {r["language"] for r in nothing} == {"und"}
 
 
-def test_language_scores_equal_plain_ones():
-    texts, langs = zip(*lang_texts(60, 5))
-    m = langid.train(list(texts), list(langs))
-    family, lang, _ = langid.identify_texts(m, list(texts))
-    x = langid.features(list(texts))
-    first = x @ m["weights"][:, 0] + m["bias"][0]
-    assert [f == m["pairs"][0][1] for f in family] == [bool(s >= 0) for s in first]
+def plain_language(m, text):
+    """Both levels machine by machine and vote by vote."""
+    x = langid.features([text])[0].astype(float)
+    score = {(level, a, b): float(x @ m["weights"][:, k].astype(float) + m["bias"][k]) for k, (level, a, b) in enumerate(m["pairs"])}
+
+    def winner(level, options):
+        def place(o):
+            own = [(s if a == o else -s, s >= 0 if a == o else s < 0) for (at, a, b), s in score.items() if at == level and o in (a, b)]
+            return sum(won for _, won in own) + 1e-3 * math.tanh(sum(s for s, _ in own)), [s for s, _ in own]
+
+        best = max(options, key=lambda o: (place(o)[0], -options.index(o)))
+        return best, min((abs(s) for s in place(best)[1]), default=math.inf)
+
+    family, first = winner("family", sorted(m["families"]))
+    lang, second = winner("language", m["families"][family])
+    margin = min(first, second)
+    return family, lang, 0 if math.isinf(margin) else margin
+
+
+def test_language_levels_equal_plain_ones():
+    texts, langs = zip(*lang_texts(160, 5))
+    odd = ["o" * 9000, "the cion ung", "le et der", "a", "é"]
+    for families in (langid.FAMILIES, {"all": ("en", "de", "fr", "es")}, {}):
+        m = langid.train(list(texts[:100]), list(langs[:100]), families)
+        family, lang, margin = langid.identify_texts(m, [*texts[100:], *odd])
+        for k, t in enumerate([*texts[100:], *odd]):
+            want = plain_language(m, t)
+            assert (family[k], lang[k]) == want[:2] and math.isclose(margin[k], want[2], rel_tol=1e-3, abs_tol=1e-4)
+
+
+def test_a_machine_is_the_least_of_its_objective():
+    """The squared hinge of one machine, run to its end, against plain gradient descent."""
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((60, 20)) * 0.3).astype(np.float32)
+    y = np.where(x[:, 0] + 0.2 * rng.standard_normal(60) > 0, 1, -1).astype(np.float32)
+    s = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+
+    def loss(w, b):
+        return 0.5e-3 * (w @ w + b * b) + 10.0 * (s * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+
+    w, b = np.zeros(20), 0.0
+    for _ in range(20_000):
+        miss = s * y * np.maximum(0, 1 - y * (x @ w + b))
+        w, b = w - 0.05 * (1e-3 * w - 20 * (miss @ x)), b - 0.05 * (1e-3 * b - 20 * miss.sum())
+    got = langid._machine(x, y, rounds=5000)
+    assert loss(*got) <= 1.05 * loss(w, b)
 
 
 def test_semi_markov_search_equals_exhaustive_search():
@@ -202,6 +241,25 @@ def test_pii_on_held_out_sentences_and_odd_rows(spark):
     assert pii.find_personal_data(df.limit(0)).count() == 0
 
 
+LONG = [
+    "first_last-name.x.y.z@mail.dept.sub.unit.office.example.co.uk", "bounces+1234-5f6a-user=list.example.org@mail.example.com"[:21] + "." + "a1" * 40 + "@mail.example.com",
+    "a.b.c.d.e.f.g.h.i.j.k.l.m.n.o.p@example.org", "x" * 150 + "@" + "y" * 60 + ".example.com",
+]
+
+
+@pytest.mark.parametrize("address", LONG)
+def test_long_addresses(address):
+    text = f"write to {address}, or call"
+    assert [(text[s:e], k) for s, e, k, _ in pii.find_pii(text)] == [(address, "email")]
+    assert pii.find_pii(text) == pii.find_pii(text, everywhere=True)
+
+
+def test_cues_are_whole_words():
+    text = "x" * 40 + "telephone " + "w" * 20 + " 12 3456789"
+    start = text.index("12")
+    assert "cphone" not in pii.features(text, start, len(text)) and "cphone" in pii.features("phone 12 3456789", 6, 16)
+
+
 KEY = "ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e"
 
 
@@ -239,3 +297,75 @@ def test_secrets(spark):
 def test_secrets_in_addresses_and_of_letters(text, want):
     found = [text[s:e] for s, e, _ in secrets.find_secrets(text, f"{secrets.TOKENIZERS}/{secrets.VOCABULARY}")]
     assert found == ([want] if want else [])
+
+
+def plain_secrets(text, most=secrets.MOST, most_word=secrets.MOST_WORD):
+    """The rules one by one, each looking at all of the text before and after a run."""
+    import re
+
+    enc = secrets.encoding(f"{secrets.TOKENIZERS}/{secrets.VOCABULARY}")
+    key, names = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", secrets._NAMES
+    after = lambda i, signs, must: re.search(rf"(?i){names}[\"']?\s*[{signs}]{'' if must else '?'}\s*[\"']?\Z", text[:i]) is not None
+    out, i = [], 0
+    while i < len(text):
+        if text[i] not in key:
+            i += 1
+            continue
+        j = i
+        while j < len(text) and text[j] in key:
+            j += 1
+        start, end = i, j + (text[j : j + 1] == "=") + (text[j : j + 2] == "==")
+        i = j
+        if j - start < 16:
+            continue
+        if text[start : start + 2] == "//" and text[:start].endswith(":"):
+            start += 2
+        url = re.search(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s\"'<>`]*)\Z", text[:start])
+        if url and "?" not in url[1] and "#" not in url[1]:
+            info = re.match(r"[^\s\"'<>`/?#@]*@", text[end:])
+            if not ("/" not in url[1] and "@" not in url[1] and (":" in url[1] or "/" not in text[start:end]) and info):
+                marks = [m.end() for m in re.finditer(rf"(?i){names}s?[=:/]+", url[1] + text[start:end])]
+                at = start - len(url[1]) + marks[-1] if marks else -1
+                if at < start:
+                    continue
+                start, end = at, (at + text[at:end].index("/") if "/" in text[at:end] else end)
+        elif re.match(r"@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", text[end:]) and not after(start, ":=", True):
+            continue
+        elif re.search(r"[\w.%+\-]@\Z", text[:start]) and re.match(r"(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", text[end:]):
+            continue
+        s = text[start:end]
+        if len(s) < 16 or s.isdigit() or re.fullmatch(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", s):
+            continue
+        if len(s) in (32, 40, 56, 64, 96, 128) and re.fullmatch("(?i)[0-9a-f]+", s):
+            if not after(start, ":=", False):
+                continue
+        else:
+            parts = re.split(r"[_\-/+]|(?<=[a-z])(?=[A-Z])", s.rstrip("="))
+            if len(parts) < len(s) / 3 and all(re.fullmatch(r"[A-Z]?[a-z]{1,15}\d{0,4}|[A-Z]{1,8}\d{0,4}|\d{1,8}|", p) for p in parts):
+                continue
+        limit, judged = most, s
+        pieces = re.split(r"[_\-/+=]", s)
+        plain = all(p.isupper() or p[1:].islower() or len(p) < 2 for p in pieces) and not any(c.isdigit() for c in s)
+        if plain and not re.fullmatch("(?:AKIA|ASIA)[A-Z0-9]{16}", s) and not after(start, ":=", True):
+            judged, limit = max(pieces, key=len), min(most, most_word)
+        if len(judged) >= 16 and len(judged) / len(enc.encode_ordinary(judged)) < limit:
+            out.append((start, end))
+    return out
+
+
+def test_secrets_equal_the_rules_one_by_one():
+    rng = random.Random(12)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    run = lambda n, a=alphabet: "".join(rng.choice(a) for _ in range(n))
+    bits = [
+        lambda: run(rng.randint(10, 40)), lambda: run(40, "0123456789abcdef"), lambda: run(32, "0123456789ABCDEF"), lambda: run(20, "abcdefghijklmnopqrstuvwxyz"), lambda: run(20, "0123456789"), lambda: "AKIA" + run(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        lambda: "https://", lambda: "ftp://user:", lambda: "host.example.org", lambda: "@", lambda: "/", lambda: "?key=", lambda: "#", lambda: ".", lambda: "=", lambda: "==", lambda: " ", lambda: "\n", lambda: '"', lambda: "'", lambda: ":", lambda: "-", lambda: "_",
+        lambda: "token", lambda: "Password ", lambda: "api_key", lambda: "token" + " " * 60, lambda: "secret=", lambda: "wordlike_names_of_things", lambda: "123e4567-e89b-12d3-a456-426614174000", lambda: "commit ", lambda: "Verantwortungsbewusstsein", lambda: "é", lambda: "ünïcode",
+    ]
+    path, hits = f"{secrets.TOKENIZERS}/{secrets.VOCABULARY}", 0
+    texts = ["".join(rng.choice(bits)() for _ in range(rng.randint(1, 14))) for _ in range(4000)] + ["https://h/" + "a" * 3000 + "/" + run(24), "token=" + run(30_000), *ODD, "token" + " " * 5000 + "= " + run(40, "0123456789abcdef")]
+    for t in texts:
+        got = [x[:2] for x in secrets.find_secrets(t, path)]
+        hits += len(got)
+        assert got == plain_secrets(t), t
+    assert hits > 1000

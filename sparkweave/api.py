@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 import sys
 import time
@@ -16,10 +15,14 @@ from sparkweave import schema as S
 from sparkweave.config import META, Config, InvalidParamError, InvalidPathError, coerced
 from sparkweave.operators import stats
 from sparkweave.present import Formatter, Text, volume
-from sparkweave.sources import scan
+from sparkweave.sources import scan, storage
 from sparkweave.sources.index import Index
 
 
+#: Upper bound of ``parallel``.
+MOST_PARALLEL = 64
+
+
 def session(spark: SparkSession | None = None) -> SparkSession:
     from sparkweave.session import builder
 
@@ -27,14 +30,16 @@ def session(spark: SparkSession | None = None) -> SparkSession:
 
 
 def _root(path: str) -> str:
-    real = os.path.realpath(path)
-    if not os.path.isdir(real):
+    """A local folder's real path, or the URI of a folder on shared storage."""
+    real = storage.normal(path)
+    if not storage.is_folder(real):
         raise InvalidPathError(path, "no such folder")
     return real
 
 
 def _index(spark: SparkSession, root: str) -> Index:
-    return Index(spark, f"file:{root}/{META}/index")
+    """The index lies below the root; on a cluster the root must be a folder that all executors share, by URI or by mount."""
+    return Index(spark, f"{root if '://' in root else 'file:' + root}/{META}/index")
 
 
 def build(root_dir: str = ".", force_rebuild: bool = False, lang: str = "system", parallel: int = 0, compat: bool = False, extensions: bool = False, public_as_entry: bool = False, spark: SparkSession | None = None) -> dict[str, Any]:
@@ -46,7 +51,7 @@ def build(root_dir: str = ".", force_rebuild: bool = False, lang: str = "system"
     from sparkweave.build import build_index
 
     root = _root(root_dir)
-    _whole("parallel", parallel, 0)
+    _whole("parallel", parallel, 0, MOST_PARALLEL)
     config = Config(root).load()
     for ext, n in scan.unhandled(root).items():
         print(f"{n} {ext} files are not parsed: no parser is registered for them", file=sys.stderr)
@@ -199,18 +204,12 @@ def _dead_tests(index: Index, json_output: bool, t: Text, took) -> str | dict[st
 
 
 def validate(index: Index, root: str, graph_id: int) -> bool:
-    """Whether the files of a graph are on disk as they were when they were read (to the microsecond that the file source gives)."""
+    """Whether the files of a graph are on disk as they were when they were read."""
     if index.current() is None:
         return False
     mine = index.read("members").where(F.col("component") == graph_id).select("id")
     files = index.read("nodes").join(mine, "id", "left_semi").select("file_id").distinct().join(index.read("files"), "file_id").select("path", "mtime_ns").collect()
-    for r in files:
-        try:
-            if os.stat(os.path.join(root, r["path"])).st_mtime_ns // 1_000_000 != r["mtime_ns"] // 1_000_000:
-                return False
-        except OSError:
-            return False
-    return True
+    return all(storage.modified(root, r["path"]) == r["mtime_ns"] for r in files)
 
 
 ACTIONS = tuple("show get set copy-from".split()) + tuple(f"{verb}-{what}" for what in ("entry-rule", "exclude") for verb in ("add", "remove"))

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweave.graph import local
 from sparkweave.operators import analyze, resolve, rules, stats, warn
-from sparkweave.parse import LANGUAGES
+from sparkweave.parse import LANGUAGES, own
 from sparkweave.session import small_batches, small_input, written
-from sparkweave.sources import projects, scan
+from sparkweave.sources import projects, scan, storage
 from sparkweave.sources.index import Index, diff
 
 _NODE = (
@@ -30,32 +30,57 @@ PARSED = (
 _NODE_FIELDS = [f.split(":")[0] for f in _NODE[len("array<struct<") :].replace("array<string>", "x").rstrip(">").split(",")]
 
 
+def _row(path: str, lang: str, content: bytes | None, size: int, adapters: dict) -> tuple:
+    """A file's row of :data:`PARSED`. A file without content is over the size limit; one that can't be parsed has a warning and no nodes."""
+    m = adapters.get(lang) or LANGUAGES[lang]
+    if content is None:
+        return (path, m.module_of(path), [], [], [], [], [dict(zip(_SAID, ("file_too_large", "info", f"File is {size / 1048576:.1f} MB and was not parsed", 0)))])
+    p = m.parse(path, bytes(content))
+    empty = dict.fromkeys(_NODE_FIELDS)
+    nodes = [{**empty, "is_deprecated": False, "is_async": False, "is_partial": False, **n, "is_special": m.is_special(n["name"]), "is_public": n["name"] in m.PUBLIC} for n in p.nodes]
+    imports = [{"line": i["line"], "module": i["module"], "names": i["names"], "type": i["type"], "is_used": i.get("is_used", True)} for i in p.imports]
+    refs = [dict(zip(("source_qname", "target_name", "edge_type", "line"), r)) for r in p.refs]
+    return (path, p.module, nodes, refs, [dict(zip(("kind", "name", "line", "local"), x)) for x in p.marks], imports, [dict(zip(_SAID, w)) for w in p.warnings])
+
+
+_SAID = ("warn_type", "severity", "message", "line")
+_COLUMNS = ["path", "module", "nodes", "refs", "marks", "imports", "said"]
+
+
 def parse_files(files: DataFrame) -> DataFrame:
-    """``files(path, lang, content, size_bytes)`` -> :data:`PARSED`, one row per file. A file without content is over the size limit; one that
-    can't be parsed has a warning and no nodes."""
+    """``files(path, lang, content, size_bytes)`` -> :data:`PARSED`, one row per file."""
     small_batches(files.sparkSession, 256)
+    adapters = own()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, lang, content, size in zip(b["path"], b["lang"], b["content"], b["size_bytes"]):
-                m = LANGUAGES[lang]
-                if content is None:
-                    rows.append((path, m.module_of(path), [], [], [], [], [("file_too_large", "info", f"File is {size / 1048576:.1f} MB and was not parsed", 0)]))
-                    continue
-                p = m.parse(path, bytes(content))
-                empty = dict.fromkeys(_NODE_FIELDS)
-                nodes = [{**empty, "is_deprecated": False, "is_async": False, "is_partial": False, **n, "is_special": m.is_special(n["name"]), "is_public": n["name"] in m.PUBLIC} for n in p.nodes]
-                imports = [{"line": i["line"], "module": i["module"], "names": i["names"], "type": i["type"], "is_used": i.get("is_used", True)} for i in p.imports]
-                rows.append((path, p.module, nodes, [dict(zip(("source_qname", "target_name", "edge_type", "line"), r)) for r in p.refs], [dict(zip(("kind", "name", "line", "local"), x)) for x in p.marks], imports, p.warnings))
-            out = pd.DataFrame(rows, columns=["path", "module", "nodes", "refs", "marks", "imports", "said"])
-            out["said"] = [[dict(zip(("warn_type", "severity", "message", "line"), w)) for w in x] for x in out["said"]]
-            yield out
-
-    # Parsing costs by size: large files are spread first, whatever files the scan put together.
+            yield pd.DataFrame([_row(*r, adapters) for r in zip(b["path"], b["lang"], b["content"], b["size_bytes"])], columns=_COLUMNS)
+
     return files.select("path", "lang", "content", "size_bytes").mapInPandas(run, PARSED)
 
 
+def read_and_parse(files: DataFrame, root: str, config: dict) -> DataFrame:
+    """``files(path, lang, size_bytes, mtime_ns, is_test)`` -> :data:`PARSED` with the file's columns and ``hash``; contents never leave the task that reads them."""
+    adapters, most = own(), scan.most_bytes(config)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                got = scan.content_of(root, r.path, r.size_bytes, r.mtime_ns, most)
+                if got:
+                    rows.append((*_row(r.path, r.lang, got[0], r.size_bytes, adapters), r.lang, r.size_bytes, r.mtime_ns, r.is_test, got[1]))
+                if len(rows) >= 100:
+                    yield pd.DataFrame(rows, columns=_COLUMNS + _FILE)
+                    rows = []
+            yield pd.DataFrame(rows, columns=_COLUMNS + _FILE)
+
+    return files.select("path", "lang", "size_bytes", "mtime_ns", "is_test").mapInPandas(run, PARSED + ", lang string, size_bytes long, mtime_ns long, is_test boolean, hash string")
+
+
+_FILE = ["lang", "size_bytes", "mtime_ns", "is_test", "hash"]
+
+
 @dataclass
 class Tables:
     """The tables of one parse, with ids."""
@@ -68,13 +93,12 @@ class Tables:
     said: DataFrame
 
 
-def with_ids(scanned: DataFrame, parsed: DataFrame) -> Tables:
+def with_ids(parsed: DataFrame) -> Tables:
     """Ids that follow from natural keys: files by path, nodes by (path, order in the file).
 
     A file's nodes have consecutive ids after those of the files before it, so ids need one row per file in order, not all nodes.
     """
-    sizes = parsed.select("path", "module", F.size("nodes").alias("n"), F.size("said").alias("w"))
-    info = scanned.select("path", "hash", "size_bytes", "mtime_ns", "lang", "is_test").join(sizes, "path")
+    info = parsed.select("path", "hash", "size_bytes", "mtime_ns", "lang", "is_test", "module", F.size("nodes").alias("n"), F.size("said").alias("w"))
     # Files are numbered within ranges of paths; the counts of the ranges before are added.
     ranges = written(info.repartitionByRange("path").withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
@@ -101,7 +125,7 @@ def with_ids(scanned: DataFrame, parsed: DataFrame) -> Tables:
 
 
 def find_entries(t: Tables, config: dict, public_as_entry: bool = False, root: str | None = None) -> DataFrame:
-    """Entries by the configured rules and by the project files below a local root, bound to nodes by line."""
+    """Entries by the configured rules and by the project files below a root, bound to nodes by line."""
     spark = t.nodes.sparkSession
     files = t.files.withColumn("has_nodes", F.col("n") > 0)
     whole = files.select("file_id", F.lit("file").alias("kind"), F.col("path").alias("name"), F.lit(1).alias("line"), F.lit(0).cast("long").alias("node_id"))
@@ -121,7 +145,7 @@ def find_entries(t: Tables, config: dict, public_as_entry: bool = False, root: s
     if public_as_entry:
         shown = t.marks.where("kind in ('export', 'visible') and node_id <> 0").select("file_id", "node_id", F.lit("public").alias("rule_name"), F.col("line").cast("int").alias("line"), F.lit("public item").alias("description"), F.lit(False).alias("no_propagate"))
         found = found.unionByName(shown)
-    csharp, binaries = (projects.csharp_projects(root), projects.cargo_binaries(root)) if root and os.path.isdir(root) else ([], [])
+    csharp, binaries = (projects.csharp_projects(root), projects.cargo_binaries(root)) if root else ([], [])
     if csharp or binaries:
         more, skipped = projects.project_entries(spark, t.files, t.nodes, t.marks, csharp, binaries)
         found = found.join(skipped, "file_id", "left_anti").unionByName(more)
@@ -167,31 +191,45 @@ def analyse(t: Tables, config: dict, public_as_entry: bool = False, extensions:
 
 
 def build_index(spark: SparkSession, root: str, index: Index, config: dict, force: bool = False, public_as_entry: bool = False, compat: bool = False, extensions: bool = False) -> dict:
-    """Bring the index up to date. Only added and modified files are parsed again; what follows from the tables is worked out anew from all of
-    them, so that an incremental build gives just what a full one does."""
+    """Bring the index up to date. Only files that are new, or differ in size or time, are read and parsed; what follows from the tables is
+    worked out anew from all of them, so that an incremental build gives just what a full one does."""
     began = time.time()
-    now = scan.scan(spark, root, config, compat)
+    root = storage.normal(root)
+    now = scan.listed(spark, root, config, compat)
     state = None if force else index.current()
     if state is not None and state.get("public_as_entry") != public_as_entry:
         state = None
-    listed = now.drop("content")
-    listed = written(listed, "listed")
-    before = index.read("files") if state else None
-    parsed_before = index.read("parsed") if state else None
-    changes = diff(before.select("path", "hash"), listed.select("path", "hash")) if before is not None else listed.select("path", F.lit("added").alias("state"))
-    count = {r["state"]: r["count"] for r in changes.groupBy("state").count().collect()}
-    if state is not None and not any(count.get(k) for k in ("added", "modified", "removed")):
-        if state.get("config") == _config_mark(config):
+    old = None
+    if state is not None:
+        try:
+            old = index.read("parsed")
+        except AnalysisException:  # the version that the pointer names is broken: start over
+            state = None
+    # States by listing first: what has its size and time is unchanged; the others are read, and their hashes tell.
+    if old is not None:
+        known = old.select("path", F.col("size_bytes").alias("_size"), F.col("mtime_ns").alias("_time"), F.col("hash").alias("_hash"))
+        both = now.join(known, "path", "full_outer")
+        both = written(both.withColumn("state", F.when(F.col("_hash").isNull(), "added").when(F.col("lang").isNull(), "removed").when((F.col("size_bytes") == F.col("_size")) & (F.col("mtime_ns") == F.col("_time")), "unchanged").otherwise("touched")), "changes")
+        count = {r["state"]: r["count"] for r in both.groupBy("state").count().collect()}
+        if set(count) <= {"unchanged"} and state.get("config") == _config_mark(config):
             return _result(began, sum(count.values()), count, 0, 0, 0)
-    todo = changes.where("state in ('added', 'modified')").select("path")
-    fresh = parse_files(now.join(todo, "path", "left_semi"))
-    if parsed_before is not None:
-        fresh = fresh.unionByName(parsed_before.join(changes.where("state = 'unchanged'").select("path"), "path", "left_semi"))
+        todo = both.where("state in ('added', 'touched')")
+    else:
+        count, todo = {"added": None}, now
     version = index.begin()
+    fresh = read_and_parse(todo, root, config)
+    if old is not None:
+        kept = old.join(both.where("state = 'unchanged'").select("path"), "path", "left_semi")
+        fresh = fresh.unionByName(kept)
     parsed = index.write(version, "parsed", fresh)
-    rows = parsed.agg(F.coalesce(F.sum(F.size("nodes") + F.size("refs") + F.size("imports") + F.size("marks")), F.lit(0))).first()[0]
-    with small_input(rows):
-        t = with_ids(listed, parsed)
+    totals = parsed.agg(F.coalesce(F.sum(F.size("nodes") + F.size("refs") + F.size("imports") + F.size("marks")), F.lit(0)), F.count(F.lit(1))).first()
+    if old is None:
+        count = {"added": totals[1]}
+    elif count.get("touched"):
+        same = parsed.join(both.where("state = 'touched'").select("path", "_hash"), "path").where("hash = _hash").count()
+        count |= {"modified": count.pop("touched") - same, "unchanged": count.get("unchanged", 0) + same}
+    with small_input(totals[0]):
+        t = with_ids(parsed)
         t = Tables(t.files, written(t.nodes, "nodes"), written(t.refs, "refs"), written(t.marks, "marks"), written(t.imports, "imports"), written(t.said, "said"))
         b = analyse(t, config, public_as_entry, extensions, compat, root=root)
     tables = {

@@ -9,6 +9,8 @@ import os
 import tempfile
 from typing import Any
 
+from sparkweave.sources import storage
+
 META = ".sparkweave"
 Settings = dict[str, Any]
 
@@ -127,27 +129,33 @@ class Config:
     """The configuration file of a root folder."""
 
     def __init__(self, root: str) -> None:
-        self.root = os.path.realpath(root)
+        self.root = storage.normal(root)
         self.path = os.path.join(self.root, META, "config.json")
 
     def load(self) -> Settings:
         """Defaults with the file's values; a missing file is written, an unreadable one ignored."""
-        if not os.path.isfile(self.path):
+        try:
+            data = storage.read(self.root, f"{META}/config.json")
+        except FileNotFoundError:
             self.save(DEFAULTS)
             return copy.deepcopy(DEFAULTS)
+        except OSError:
+            return copy.deepcopy(DEFAULTS)
         try:
-            with open(self.path, encoding="utf-8") as f:
-                return merged(copy.deepcopy(DEFAULTS), json.load(f))
-        except (OSError, ValueError):
+            return merged(copy.deepcopy(DEFAULTS), json.loads(data.decode()))
+        except ValueError:
             return copy.deepcopy(DEFAULTS)
 
     def save(self, config: Settings) -> None:
+        data = json.dumps(config, ensure_ascii=False, indent=2).encode()
+        if "://" in self.root:
+            storage.write(self.root, f"{META}/config.json", data)
+            return
         os.makedirs(os.path.dirname(self.path), exist_ok=True)
         handle, temp = tempfile.mkstemp(dir=os.path.dirname(self.path))
         try:
-            text = json.dumps(config, ensure_ascii=False, indent=2)
             with os.fdopen(handle, "wb") as f:
-                f.write(text.encode())
+                f.write(data)
             os.replace(temp, self.path)
         except BaseException:
             with contextlib.suppress(OSError):

@@ -62,8 +62,35 @@ class _Lazy(dict):
 
 
 LANGUAGES = _Lazy()
+#: Languages that a program has registered itself; they go to the executors with the job that parses.
+_OWN: dict[str, object] = {}
+CONTRACT = ("EXTENSIONS", "EXCLUDES", "PUBLIC", "module_of", "parse", "is_special")
+
+
+def register(name: str, adapter: object) -> None:
+    """Parse files of a further language, or replace the reader of a known one.
+
+    An adapter has ``EXTENSIONS`` (such as ``(".x",)``), ``EXCLUDES`` (names of folders that are not entered), ``PUBLIC`` (names that are public
+    by themselves), ``module_of(path)``, ``is_special(name)`` and ``parse(path, data)``, which returns :class:`Parsed`.
+    """
+    missing = [a for a in CONTRACT if not hasattr(adapter, a)]
+    if missing:
+        raise TypeError(f"the adapter of {name} lacks {', '.join(missing)}")
+    _OWN[name] = adapter
+
+
+def unregister(name: str) -> None:
+    _OWN.pop(name, None)
+
+
+def own() -> dict[str, object]:
+    return dict(_OWN)
+
+
+def language(name: str):
+    return _OWN.get(name) or LANGUAGES[name]
 
 
 def registered() -> list[str]:
     """Names of the languages that files are parsed for."""
-    return [k for k, _ in LANGUAGES.items()]
+    return list(dict.fromkeys([*(k for k, _ in LANGUAGES.items()), *_OWN]))

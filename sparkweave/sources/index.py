@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("files", "nodes", "refs", "marks", "imports", "parse_warnings", "edges", "entries", "warnings", "snapshots", "members", "summary")
-VERSION = 1
+VERSION = 2
+#: Age in ms after which a version that never became current is taken for the rest of a build that died.
+ORPHAN = 86_400_000
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ class Index:
         return self.spark.read.parquet(f"{self.root}/{state['version']}/{table}")
 
     def begin(self) -> str:
-        return f"v-{uuid.uuid4().hex}"
+        return f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex}"
 
     def write(self, version: str, table: str, df: DataFrame, by: str | None = None) -> DataFrame:
         """Write a table of a version, clustered by a column so that row-group statistics can skip, and read it back."""
@@ -59,19 +62,27 @@ class Index:
         return self.spark.read.parquet(path)
 
     def commit(self, version: str, **extra) -> None:
-        """Make a version the one to read, and drop all others but the one before."""
+        """Make a version the one to read, by one renaming that overwrites the pointer: a reader sees the former or the new version, never none.
+
+        The version before stays for its readers, the one before that is dropped, and so are versions that never became current and are
+        more than a day old. A version that another build is writing is left alone.
+        """
         fs, path = self._fs()
-        jvm = self.spark.sparkContext._jvm
-        before = (self.current() or {}).get("version")
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        former = self.current() or {}
         temp = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_CURRENT.{uuid.uuid4().hex}")
         out = fs.create(temp, True)
-        out.write(bytearray(json.dumps({"version": version, "schema": VERSION, **extra}).encode()))
+        out.write(bytearray(json.dumps({"schema": VERSION, "before": former.get("version"), **extra, "version": version}).encode()))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        if not fs.rename(temp, path):
-            raise OSError(f"can't make {version} the current version")
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), conf).rename(temp, path, how)
+        now = int(time.time() * 1000)
         for s in fs.listStatus(path.getParent()):
             name = s.getPath().getName()
-            if name.startswith("v-") and name not in (version, before):
+            if not name.startswith("v-") or name in (version, former.get("version")):
+                continue
+            begun = name.split("-")[1]
+            if name == former.get("before") or not begun.isdigit() or now - int(begun) > ORPHAN:
                 fs.delete(s.getPath(), True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tomllib
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.functions.names import folders
+from sparkweave.sources import storage
 from sparkweave.sources.scan import COMMON_EXCLUDES
 
 PROJECT = "folder string, project string, is_test boolean, output_type string, framework string, assembly string, namespace string"
@@ -18,9 +20,7 @@ _TEST_SDK = re.compile(r"Microsoft\.NET\.Test\.Sdk|<IsTestProject>\s*true\s*</Is
 BROADCAST_PROJECTS = 100_000
 
 
-def _read(path: str) -> str:
-    with open(path, "rb") as f:
-        data = f.read()
+def _text(data: bytes) -> str:
     for code in ("utf-16",) if data[:2] in (b"\xff\xfe", b"\xfe\xff") else ("utf_8_sig", "latin_1"):
         try:
             return data.decode(code)
@@ -30,18 +30,23 @@ def _read(path: str) -> str:
 
 
 def _walk(root: str, wanted):
-    for folder, dirs, files in os.walk(root):
-        dirs[:] = [d for d in dirs if d not in COMMON_EXCLUDES and not d.startswith(".")]
-        for f in files:
-            if wanted(f):
-                yield os.path.relpath(folder, root).replace(os.sep, "/").removeprefix("."), f, os.path.join(folder, f)
+    """Folder, name and text of the files wanted below a root; what can't be read is skipped."""
+    waiting = [""]
+    while waiting:
+        folder = waiting.pop()
+        for name, is_folder, _, _ in storage.items(root, folder):
+            path = f"{folder}/{name}" if folder else name
+            if is_folder and name not in COMMON_EXCLUDES and not name.startswith("."):
+                waiting.append(path)
+            elif not is_folder and wanted(name):
+                with contextlib.suppress(OSError):
+                    yield folder, name, _text(storage.read(root, path))
 
 
 def csharp_projects(root: str) -> list[tuple]:
-    """Rows of :data:`PROJECT`, one per ``.csproj`` below a local folder; folders are relative, "" for the root itself."""
+    """Rows of :data:`PROJECT`, one per ``.csproj`` below a folder; folders are relative, "" for the root itself."""
     out = []
-    for folder, name, path in _walk(root, lambda f: f.lower().endswith(".csproj")):
-        text = _read(path)
+    for folder, name, text in _walk(root, lambda f: f.lower().endswith(".csproj")):
         tag = lambda t: m[1].strip() if (m := re.search(rf"<{t}>\s*([^<]*?)\s*</{t}>", text, re.I)) else None  # noqa: B023, E731
         own = name.rsplit(".", 1)[0]
         out.append((folder, own, bool(_TEST_SDK.search(text)), (tag("OutputType") or "Library"), tag("TargetFramework") or tag("TargetFrameworks"), tag("AssemblyName") or own, tag("RootNamespace") or own))
@@ -49,11 +54,11 @@ def csharp_projects(root: str) -> list[tuple]:
 
 
 def cargo_binaries(root: str) -> list[str]:
-    """Paths that ``[[bin]]`` sections of the ``Cargo.toml`` files below a local folder name; a file that can't be read is skipped."""
+    """Paths that ``[[bin]]`` sections of the ``Cargo.toml`` files below a folder name; a file that can't be read is skipped."""
     out = []
-    for folder, _, path in _walk(root, lambda f: f == "Cargo.toml"):
+    for folder, _, text in _walk(root, lambda f: f == "Cargo.toml"):
         try:
-            bins = tomllib.loads(_read(path)).get("bin", [])
+            bins = tomllib.loads(text).get("bin", [])
         except tomllib.TOMLDecodeError:
             continue
         out += [os.path.normpath(os.path.join(folder, b["path"])).replace(os.sep, "/") for b in bins if isinstance(b, dict) and isinstance(b.get("path"), str)]

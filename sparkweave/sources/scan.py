@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections import Counter
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.config import META
 from sparkweave.functions.names import base_name, folders
-from sparkweave.operators.rules import any_glob, glob
-from sparkweave.parse import LANGUAGES, registered
+from sparkweave.operators.rules import any_glob, glob, matches
+from sparkweave.parse import LANGUAGES, language, registered
+from sparkweave.sources import storage
 
 COMMON_EXCLUDES = ("build", "dist", META, *".git .hg .idea .svn .vs .vscode node_modules".split())
 
@@ -24,7 +28,7 @@ def language_column(path: Column) -> Column:
     """The language that an extension is registered for; null for others."""
     out = F.lit(None).cast("string")
     for lang in registered():
-        out = F.when(extension_column(path).isin(*LANGUAGES[lang].EXTENSIONS), lang).otherwise(out)
+        out = F.when(extension_column(path).isin(*language(lang).EXTENSIONS), lang).otherwise(out)
     return out
 
 
@@ -33,7 +37,7 @@ def excluded_column(path: Column, user: list[str] = ()) -> Column:
 
     A user's pattern that ends in ``/`` names folders at any depth or a leading path; another one is a glob for the path or its last part.
     """
-    names = sorted(set(COMMON_EXCLUDES).union(*(LANGUAGES[x].EXCLUDES for x in registered())))
+    names = sorted(set(COMMON_EXCLUDES).union(*(language(x).EXCLUDES for x in registered())))
     within = folders(path)
     out = F.exists(within, lambda d: d.isin(*names) | d.endswith(".egg-info") | d.startswith(".")) | base_name(path).startswith(".") | path.rlike(r"\.py[co]$")
     for p in user:
@@ -53,61 +57,101 @@ def test_column(path: Column, patterns: dict) -> Column:
     return base.rlike(any_glob(list(patterns.get("file_patterns", [])) + list(patterns.get("config_files", [])))) | (F.exists(folders(path), lambda d: d.rlike(named)) if dirs else F.lit(False))
 
 
-def scan(spark: SparkSession, root: str, config: dict, compat: bool = False) -> DataFrame:
-    """``(path, lang, size_bytes, mtime_ns, content, hash, is_test)`` of the files with a registered extension below a folder.
+#: Bytes of files that a task reads, about, and tasks at most for each core.
+TASK_BYTES, TASKS_A_CORE = 4_000_000, 8
+GONE, LARGE = "0" * 64, "size:{},mtime:{}"
+
+
+def walk(root: str, config: dict, compat: bool = False) -> list[tuple[str, int, int]]:
+    """``(path, size, mtime in ns)`` of the files with a registered extension below a folder, as the file system has them now.
 
-    Read by the binary file source, so that contents go from the file system to the executors. ``compat``: user excludes are ignored.
+    Excluded and hidden folders are not entered; symbolic links to folders are not followed. Names may start with an underscore.
+    ``compat``: user excludes are ignored.
     """
-    base = os.path.realpath(root) if "://" not in root else root.rstrip("/")
-    lister = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
-    raw = lister.load(base)
-    prefix = base if "://" in base else "file:" + base
-    rel = F.regexp_replace("path", f"^(file:/*)?{_quoted(base if '://' not in base else prefix)}/", "")
+    names = set(COMMON_EXCLUDES).union(*(language(x).EXCLUDES for x in registered()))
+    known = {e for x in registered() for e in language(x).EXTENSIONS}
     user = [] if compat else config.get("exclude_patterns", {}).get("user_exclude", [])
-    limits = config.get("performance") or {}
-    most = int(float(limits.get("max_file_size_mb", 10)) * 1024 * 1024)
-    at = raw.withColumn("path", rel).withColumn("lang", language_column(F.col("path"))).where(F.col("lang").isNotNull() & ~excluded_column(F.col("path"), user))
-    return at.select(
-        "path", "lang", F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("hash"), test_column(F.col("path"), config.get("test_patterns", {})).alias("is_test"),
-        F.when(F.col("length") <= most, F.col("content")).alias("content"),
-    )
+    within, whole = [p for p in user if p.endswith("/")], [p for p in user if not p.endswith("/")]
 
+    def enter(rel: str, name: str) -> bool:
+        return not (name in names or name.startswith(".") or name.endswith(".egg-info") or any(f"{rel}/".startswith(p) or matches(name, [p[:-1]]) for p in within))
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
+    out, waiting = [], [""]
+    while waiting:
+        folder = waiting.pop()
+        for name, is_folder, size, mtime in storage.items(root, folder):
+            rel = f"{folder}/{name}" if folder else name
+            if is_folder:
+                if enter(rel, name):
+                    waiting.append(rel)
+            elif not name.startswith(".") and os.path.splitext(name)[1].lower() in known and not (whole and (matches(rel, whole) or matches(name, whole))):
+                out.append((rel, size, mtime))
+    return sorted(out)
 
 
-def listing(root: str, config: dict, compat: bool = False) -> list:
-    """``(path, mtime in ns)`` as the file system has them now; symbolic links to folders are not followed."""
-    names = set(COMMON_EXCLUDES).union(*(LANGUAGES[x].EXCLUDES for x in registered()))
-    known = {e for x in registered() for e in LANGUAGES[x].EXTENSIONS}
-    user = [] if compat else config.get("exclude_patterns", {}).get("user_exclude", [])
-    from sparkweave.operators.rules import matches
-
-    out = []
-    for folder, dirs, files in os.walk(root):
-        dirs[:] = [d for d in dirs if d not in names and not d.startswith(".") and not d.endswith(".egg-info")]
-        for f in files:
-            if f.startswith(".") or os.path.splitext(f)[1].lower() not in known:
-                continue
-            full = os.path.join(folder, f)
-            rel = os.path.relpath(full, root).replace(os.sep, "/")
-            if any((p.endswith("/") and (rel.startswith(p) or any(matches(d, [p[:-1]]) for d in rel.split("/")[:-1]))) or (not p.endswith("/") and (matches(rel, [p]) or matches(f, [p]))) for p in user):
-                continue
-            try:
-                out.append((rel, os.stat(full).st_mtime_ns))
-            except OSError:
-                continue
-    return out
+def listed(spark: SparkSession, root: str, config: dict, compat: bool = False) -> DataFrame:
+    """``(path, lang, size_bytes, mtime_ns, is_test)`` of what :func:`walk` finds; no file is read."""
+    found = walk(root, config, compat)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(1, min(sum(x[1] for x in found) // TASK_BYTES + len(found) // 2000 + 1, TASKS_A_CORE * cores, len(found)))
+    order = sorted(found, key=lambda x: -x[1])
+    dealt = [x for k in range(tasks) for x in order[k::tasks]]  # each task gets large and small files
+    rows = pa.table({"path": pa.array([x[0] for x in dealt], pa.string()), "size_bytes": pa.array([x[1] for x in dealt], pa.int64()), "mtime_ns": pa.array([x[2] for x in dealt], pa.int64())})
+    frame = spark.createDataFrame(rows)
+    return frame.select("path", language_column(F.col("path")).alias("lang"), "size_bytes", "mtime_ns", test_column(F.col("path"), config.get("test_patterns", {})).alias("is_test"))
+
+
+def most_bytes(config: dict) -> int:
+    """Bytes of the largest file that is read."""
+    return int(float((config.get("performance") or {}).get("max_file_size_mb", 10)) * 1024 * 1024)
+
+
+def content_of(root: str, path: str, size: int, mtime: int, most: int) -> tuple[bytes | None, str] | None:
+    """Content and SHA-256 of a file; no content, and a mark of size and time instead of a hash, for one that is too large to be read; None if it is gone.
+
+    A file that is there but can't be read is empty and has a hash of zeros.
+    """
+    if size > most:
+        return None, LARGE.format(size, mtime)
+    try:
+        data = storage.read(root, path)
+    except FileNotFoundError:
+        return None
+    except OSError:
+        return b"", GONE
+    return data, hashlib.sha256(data).hexdigest()
+
+
+def read(files: DataFrame, root: str, config: dict) -> DataFrame:
+    """``files(path, lang, size_bytes, mtime_ns, is_test)`` with ``hash`` and ``content``, read by path on the executors."""
+    most = most_bytes(config)
+
+    def run(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                got = content_of(root, r.path, r.size_bytes, r.mtime_ns, most)
+                if got:
+                    yield pd.DataFrame([(r.path, r.lang, r.size_bytes, r.mtime_ns, got[1], r.is_test, got[0])], columns=["path", "lang", "size_bytes", "mtime_ns", "hash", "is_test", "content"])
+
+    return files.select("path", "lang", "size_bytes", "mtime_ns", "is_test").mapInPandas(run, "path string, lang string, size_bytes long, mtime_ns long, hash string, is_test boolean, content binary")
+
+
+def scan(spark: SparkSession, root: str, config: dict, compat: bool = False) -> DataFrame:
+    """``(path, lang, size_bytes, mtime_ns, hash, is_test, content)`` of the files with a registered extension below a folder."""
+    base = storage.normal(root)
+    return read(listed(spark, base, config, compat), base, config)
 
 
 def unhandled(root: str) -> dict[str, int]:
     """Files per extension of a known but unregistered language."""
-    from sparkweave.parse import LANGUAGES, registered
-
     other = {e: n for n, m in LANGUAGES.items() if n not in registered() for e in m.EXTENSIONS}
     found: Counter[str] = Counter()
-    for _, dirs, files in os.walk(root):
-        dirs[:] = [d for d in dirs if not d.startswith(".") and d not in COMMON_EXCLUDES]
-        found.update(e for f in files if (e := os.path.splitext(f)[1].lower()) in other)
+    waiting = [""] if other else []
+    while waiting:
+        folder = waiting.pop()
+        for name, is_folder, _, _ in storage.items(root, folder):
+            if is_folder and not name.startswith(".") and name not in COMMON_EXCLUDES:
+                waiting.append(f"{folder}/{name}" if folder else name)
+            elif not is_folder and (e := os.path.splitext(name)[1].lower()) in other:
+                found[e] += 1
     return dict(found)

@@ -56,7 +56,7 @@ def step_by_step(m, text):
     t = toxicity.Types(w)
     x = toxicity.inputs(m, t)[t.of]
     best, sig, h_ = 0.0, lambda v: 1 / (1 + np.exp(-v)), toxicity.HIDDEN
-    starts = [s for s in range(0, max(1, len(x)), toxicity.STEP) if s == 0 or s + toxicity.WINDOW - toxicity.STEP < len(x)]
+    starts = range(max(1, len(x) - toxicity.WINDOW + 1))  # every window
     for s in starts:
         part = x[s : s + toxicity.WINDOW]
         states = []
@@ -85,7 +85,19 @@ def test_network_equals_textbook_and_tells_held_out_texts_apart(network):
     assert hit.mean() > 0.95
     toxic_late = "ta lo mi " * 3000 + "you idiot"
     s, w, n = toxicity.score_texts(network, [toxic_late])
-    assert s[0] >= network["threshold"] and w[0] > 8000 and n[0] == 1 + -(-(9002 - 32) // 16)
+    assert s[0] >= network["threshold"] and w[0] > 8000 and n[0] == 9002 - 32 + 1
+
+
+def test_sliding_equals_the_forward_pass(network):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((50, 10)).astype(np.float32)
+    of = rng.integers(0, 50, 5000)
+    start = np.arange(len(of) - toxicity.WINDOW + 1)
+    token = of[np.arange(toxicity.WINDOW)[:, None] + start]
+    for scale in (1, 30):
+        m = network | {"att": network["att"] * np.float32(scale)}
+        assert np.allclose(toxicity.sliding(m, x, of), toxicity.forward(m, x, token, None), atol=1e-3)
+    assert len(toxicity.sliding(network, x, of[:31])) == 0
 
 
 def test_gradients(network):

@@ -6,7 +6,9 @@ a numpy one with the same result. ``most_edges=0`` forces the distributed loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.graph import local
@@ -16,7 +18,7 @@ from sparkweave.session import drop_written, written
 
 def _fetched(most: int, *tables: DataFrame):
     """The tables' columns as arrays if none has more than ``most`` rows, else None; one job a table tells and fetches."""
-    out = []
+    out, most = [], local.bounded(most)
     for t in tables:
         columns = local.arrays(t.limit(most + 1)) if most > 0 else None
         if columns is None or len(columns[0]) > most:
@@ -33,13 +35,60 @@ def reach(seeds: DataFrame, edges: DataFrame, most_edges: int = local.MOST_EDGES
         (u, v), (s,) = found
         return local.frame(seeds.sparkSession, id=local.reach(s, u, v))
     edges = written(edges, "edges")
-    seen = front = written(seeds, "seen")
-    while True:
-        new = front.join(edges, front["id"] == edges["u"]).select(F.col("v").alias("id")).distinct().join(seen, "id", "left_anti")
-        front = written(new, "front")
-        if front.isEmpty():
+    fronts = [written(seeds, "front")]
+    jumps = _Jumps(edges)
+    for n in itertools.count(1):
+        seen = fronts[0]
+        for f in fronts[1:]:
+            seen = seen.union(f)
+        steps = edges if n <= PLAIN_ROUNDS else edges.union(jumps.doubled())
+        front = fronts[-1] if n != PLAIN_ROUNDS + 1 else seen
+        new = front.join(steps, front["id"] == steps["u"]).select(F.col("v").alias("id")).distinct().join(seen, "id", "left_anti")
+        fronts.append(written(new, "front"))
+        if fronts[-1].isEmpty():
+            jumps.drop()
+            drop_written(edges)
             return seen
-        seen = written(seen.union(front), "seen")
+
+
+#: Rounds of a loop that go edge by edge; after them chains are shortened.
+PLAIN_ROUNDS = 6
+
+
+class _Jumps:
+    """Shortcuts along chains: vertices with one edge out, and the vertices 1, 2, 4, ... such edges further.
+
+    With them a loop that would take a round for each vertex of a chain takes as many as the chain's length has binary digits.
+    """
+
+    def __init__(self, edges: DataFrame) -> None:
+        self.edges, self.levels = edges, []
+
+    def doubled(self) -> DataFrame:
+        """All shortcuts so far and the next longer ones."""
+        if not self.levels:
+            one = self.edges.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("_n")).where("_n = 1").select("u", "v")
+            self.levels.append(written(one, "jumps"))
+        last = self.levels[-1]
+        self.levels.append(written(last.join(last.toDF("v", "w"), "v").select("u", F.col("w").alias("v")).where("u <> v"), "jumps"))
+        out = self.levels[0]
+        for x in self.levels[1:]:
+            out = out.union(x)
+        return out
+
+    def ends(self) -> DataFrame:
+        """``(u, v)``: where the chain that starts at each vertex with one edge out comes to, one vertex of it where it goes in a circle."""
+        one = self.edges.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("_n")).where("_n = 1").select("u", "v")
+        now = written(one, "ends")
+        for _ in range(max(1, now.count()).bit_length()):
+            far = written(now.join(now.toDF("v", "w"), "v", "left").select("u", F.coalesce("w", "v").alias("v")), "ends")
+            drop_written(now)
+            now = far
+        return now
+
+    def drop(self) -> None:
+        for x in self.levels:
+            drop_written(x)
 
 
 def components(vertices: DataFrame, edges: DataFrame, most_edges: int = local.MOST_EDGES) -> DataFrame:
@@ -65,32 +114,53 @@ def strong_components(edges: DataFrame, most_edges: int = local.MOST_EDGES) -> D
     rest = written(edges, "rest")
     done: DataFrame | None = None
     while True:
-        while True:  # trim
-            n = rest.count()
-            inner = rest.join(rest.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(rest.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
-            inner = written(inner, "rest")
-            drop_written(rest)
-            rest = inner
-            if rest.count() == n:
-                break
+        rest = _trimmed(rest)
         if rest.isEmpty():
             break
         colour = written(rest.select(F.col("u").alias("id")).distinct().withColumn("c", F.col("id")), "colour")
-        while True:  # spread the least label forwards
-            came = colour.join(rest, colour["id"] == rest["u"]).select(F.col("v").alias("id"), "c")
+        jumps = _Jumps(rest)
+        for k in itertools.count(1):  # spread the least label forwards
+            steps = rest if k <= PLAIN_ROUNDS else rest.union(jumps.doubled())
+            came = colour.join(steps, colour["id"] == steps["u"]).select(F.col("v").alias("id"), "c")
             new = written(colour.union(came).groupBy("id").agg(F.min("c").alias("c")), "colour")
-            moved = new.join(colour.withColumnRenamed("c", "old"), "id").where("c <> old").isEmpty()
+            still = new.join(colour.withColumnRenamed("c", "old"), "id").where("c <> old").isEmpty()
+            drop_written(colour)
             colour = new
-            if moved:
+            if still:
                 break
+        jumps.drop()
         cu, cv = colour.toDF("u", "cu"), colour.toDF("v", "cv")
         back = written(rest.join(cu, "u").join(cv, "v").where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v")), "back")
         roots = colour.where("id = c").select("id")
         found = reach(roots, back, 0).join(colour, "id").select("id", F.col("c").alias("component"))
         found = written(found, "scc")
-        rest_new = rest.join(found.select(F.col("id").alias("u")), "u", "left_anti").join(found.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v")
-        rest = written(rest_new, "rest")
+        left = written(rest.join(found.select(F.col("id").alias("u")), "u", "left_anti").join(found.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"), "rest")
+        for t in (rest, back, colour):
+            drop_written(t)
+        rest = left
         done = found if done is None else done.union(found)
     if done is None:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).limit(0)
-    return done.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("component"))).where("n > 1").drop("n")
+    sizes = done.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return done.join(sizes.select("component"), "component", "left_semi").select("id", "component")
+
+
+def _trimmed(rest: DataFrame) -> DataFrame:
+    """The edges without vertices that have no edge in or none out, again and again; long chains to or from such a vertex go at once."""
+    for k in itertools.count(1):
+        n = rest.count()
+        if k > PLAIN_ROUNDS:
+            for u, v in (("u", "v"), ("v", "u")):
+                way = rest.select(F.col(u).alias("u"), F.col(v).alias("v"))
+                ends = _Jumps(way).ends()
+                stop = ends.join(way.select(F.col("u").alias("v")).distinct(), "v", "left_anti").select("u")  # chains into a vertex without a way on
+                less = written(way.join(stop, "u", "left_anti").select(F.col("u").alias(u), F.col("v").alias(v)).select("u", "v"), "rest")
+                drop_written(ends)
+                drop_written(rest)
+                rest = less
+        inner = rest.join(rest.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(rest.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
+        inner = written(inner, "rest")
+        drop_written(rest)
+        rest = inner
+        if rest.count() == n:
+            return rest

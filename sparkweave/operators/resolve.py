@@ -18,6 +18,13 @@ from sparkweave.session import drop_written, written
 KEY = ["q", "s", "cs", "cf"]
 
 
+def ending_as(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The nodes whose last part is that of a wanted name (``wanted.nq``), so that no other name is taken apart."""
+    last = lambda c: F.regexp_extract(c, r"([^.]*)$", 1)
+    ends = wanted.select(last("nq").alias("_last")).distinct()
+    return nodes.withColumn("_last", last(dotted(F.col("qualified_name")))).join(ends, "_last", "left_semi").drop("_last")
+
+
 def suffixes(nodes: DataFrame) -> DataFrame:
     """``(suffix, id)``: each trailing run of the parts of each qualified name."""
     parts = nodes.where("qualified_name <> ''").select("id", F.split(dotted(F.col("qualified_name")), r"\.").alias("p"))
@@ -67,17 +74,19 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
         made.extend((hits, todo))
 
     tier(1, todo.join(nodes.select(F.col("qualified_name").alias("q"), "id"), "q"))
-    scoped = scoped_suffixes(nodes)
     norm = todo.withColumn("nq", dotted(F.col("q"))).withColumn("ns", dotted(F.col("s")))
-    tier(2, norm.where("ns <> ''").join(scoped.toDF("ns", "nq", "id"), ["ns", "nq"]))
+    scopes = norm.select("ns").union(norm.select(dotted(F.col("cs")))).where("ns <> ''").distinct()
+    scoped = written(scoped_suffixes(ending_as(nodes, norm)).toDF("ns", "nq", "id").join(scopes, "ns", "left_semi"), "scoped")
+    made.append(scoped)
+    tier(2, norm.where("ns <> ''").join(scoped, ["ns", "nq"]))
     norm = todo.withColumn("nq", dotted(F.col("q"))).withColumn("ns", dotted(F.col("cs")))
-    tier(3, norm.where("ns <> '' and s <> ''").join(scoped.toDF("ns", "nq", "id"), ["ns", "nq"]))
+    tier(3, norm.where("ns <> '' and s <> ''").join(scoped, ["ns", "nq"]))
     if "c_file" in refs.columns:
         norm = todo.withColumn("nq", dotted(F.col("q")))
         tier(4, norm.where("cf <> 0").join(nodes.select(F.col("file_id").alias("cf"), F.col("name").alias("nq"), "id"), ["cf", "nq"]))
     norm = todo.withColumn("nq", dotted(F.col("q")))
     names = nodes.select("id", F.col("qualified_name").alias("qn"))
-    wide = norm.join(suffixes(nodes).withColumnRenamed("suffix", "nq"), "nq").join(names, "id")
+    wide = norm.join(suffixes(ending_as(nodes, norm)).withColumnRenamed("suffix", "nq"), "nq").join(names, "id")
     wide = wide.withColumn("starts", F.col("qn").startswith(F.col("s"))).withColumn("any", F.max("starts").over(Window.partitionBy(*KEY)))
     found.append(wide.where("s = '' or not any or starts").select(*KEY, "id").withColumn("tier", F.lit(5)))
 

@@ -17,6 +17,8 @@ from sparkweave.graph import loops
 
 #: Rules to broadcast at most; a longer list is joined without the hint.
 BROADCAST_RULES = 10_000
+#: Alternatives whose patterns become literals of one expression; longer lists are joined.
+LITERAL_RULES = 200
 
 #: Kinds of marks that a prefix looks at, by language; "" stands for languages that are not named.
 KINDS = {
@@ -89,10 +91,25 @@ def detect(marks: DataFrame, files: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``marks`` holds a mark of kind ``file`` with the path as name, and one of kind ``test`` for each test file with a test in it.
     """
-    n = rules.count()
-    small = F.broadcast(rules) if n <= BROADCAST_RULES else rules
-    at = marks.join(files.where("has_nodes").select("file_id", "path"), "file_id").withColumnRenamed("kind", "_kind")
-    hit = at.join(small, (F.col("_kind") == F.col("kind")) & F.expr("path rlike file_regex") & F.expr("name rlike name_regex"))
+    rows = rules.limit(LITERAL_RULES + 1).collect()
+    at = marks.join(files.where("has_nodes").select("file_id", "path"), "file_id")
+    if len(rows) <= LITERAL_RULES:
+        # Patterns are literals, which are compiled once; those of paths are tried once a file, those of names by kind.
+        spark = rules.sparkSession
+        alternatives = spark.createDataFrame([(k, r["rule_name"], r["description"], r["no_propagate"]) for k, r in enumerate(rows)], "alternative int, rule_name string, description string, no_propagate boolean")
+        groups: dict[str, list[int]] = {}
+        for k, r in enumerate(rows):
+            groups.setdefault(r["file_regex"], []).append(k)
+        fits = [F.when(F.col("path").rlike(regex), F.array(*map(F.lit, ks))).otherwise(F.array().cast("array<int>")) for regex, ks in groups.items()]
+        near = files.where("has_nodes").select("file_id", F.flatten(F.array(*fits) if fits else F.array(F.array().cast("array<int>"))).alias("_fits"))
+        named = [F.when((F.col("kind") == r["kind"]) & F.col("name").rlike(r["name_regex"]), F.lit(k)) for k, r in enumerate(rows)]
+        hits = F.array_compact(F.array(*named) if named else F.array().cast("array<int>"))
+        hit = at.join(near, "file_id").withColumn("alternative", F.explode(F.array_intersect(hits, F.col("_fits")))).join(F.broadcast(alternatives), "alternative")  # at most LITERAL_RULES rows
+    else:
+        n = rules.count()
+        small = F.broadcast(rules) if n <= BROADCAST_RULES else rules
+        at = at.withColumnRenamed("kind", "_kind")
+        hit = at.join(small, (F.col("_kind") == F.col("kind")) & F.expr("path rlike file_regex") & F.expr("name rlike name_regex"))
     line = F.when(F.col("kind") == "file", 1).when(F.col("kind") == "test", 0).otherwise(F.col("line")).cast("int")
     return hit.select("file_id", "node_id", "rule_name", line.alias("line"), "description", "no_propagate").distinct()
 

@@ -6,16 +6,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave import schema as S
+from sparkweave.session import written
+
+
+#: Ids of a component whose list is put together as a whole; ids of a range that is put together in larger ones; components that are broadcast.
+LISTED, RANGE, BROADCAST = 10_000, 65_536, 100_000
 
 
 def component_stats(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """``(component, is_dead, node_count, variable_count, root_node_ids, component_hash)``; kinds other than those named count in neither column."""
+    """``(component, is_dead, node_count, variable_count, root_node_ids, component_hash)``; kinds other than those named count in neither column.
+
+    The hash is that of the sorted ids' list. A component of more than :data:`LISTED` nodes is hashed range of ids by range of ids, then over the ranges' hashes, and
+    lists its first ids only, so that no task holds all of a component.
+    """
     node = nodes.select("id", "node_type").join(members, "id")
-    ids = F.sort_array(F.collect_set("id"))
-    return (
-        node.groupBy("component", "is_dead")
-        .agg(F.count_if(F.col("node_type").isin("class", "function", "method")).alias("node_count"), F.count_if(F.col("node_type").isin(*S.VARIABLES)).alias("variable_count"), ids.alias("root_node_ids"))
-        .withColumn("component_hash", F.sha2(F.concat(F.lit("["), F.array_join(F.col("root_node_ids").cast("array<string>"), ", "), F.lit("]")), 256))
+    counts = [F.count_if(F.col("node_type").isin("class", "function", "method")).alias("node_count"), F.count_if(F.col("node_type").isin(*S.VARIABLES)).alias("variable_count")]
+    key, ids = ["component", "is_dead"], F.sort_array(F.collect_set("id"))
+    text = F.concat(F.lit("["), F.array_join(F.col("ids").cast("array<string>"), ", "), F.lit("]"))
+    large = written(members.groupBy("component").count().where(F.col("count") > LISTED).select("component"), "large")
+    n = large.count()
+    if not n:
+        whole = node.groupBy(*key).agg(*counts, ids.alias("ids"))
+        return whole.select(*key, "node_count", "variable_count", F.col("ids").alias("root_node_ids"), F.sha2(text, 256).alias("component_hash"))
+    some = F.broadcast(large) if n <= BROADCAST else large
+    whole = node.join(some, "component", "left_anti").groupBy(*key).agg(*counts, ids.alias("ids"))
+    small = whole.select(*key, "node_count", "variable_count", F.col("ids").alias("root_node_ids"), F.sha2(text, 256).alias("component_hash"))
+    ranges = node.join(some, "component", "left_semi").withColumn("range", F.floor(F.col("id") / RANGE)).groupBy(*key, "range").agg(*counts, ids.alias("ids"))
+    ranges = ranges.select(*key, "range", "node_count", "variable_count", F.slice("ids", 1, LISTED).alias("ids"), F.sha2(text, 256).alias("digest"))
+    digests = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "digest"))), lambda x: x["digest"]), "")
+    return small.unionByName(
+        ranges.groupBy(*key).agg(F.sum("node_count").alias("node_count"), F.sum("variable_count").alias("variable_count"), F.min_by("ids", "range").alias("root_node_ids"), F.sha2(digests, 256).alias("component_hash"))
     )
 
 

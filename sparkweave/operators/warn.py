@@ -62,8 +62,10 @@ def dead_code(nodes: DataFrame, members: DataFrame) -> DataFrame:
     partial = F.col("is_partial") if "is_partial" in nodes.columns else F.lit(False)
     dead = nodes.join(members.where("is_dead").select("id", "component"), "id").where(~F.col("is_public") & (F.col("name") != "_") & ~F.coalesce(partial, F.lit(False)))
     w = Window.partitionBy("component", "is_special").orderBy("id")
-    ranked = dead.withColumn("k", F.row_number().over(w)).withColumn("plain", F.max(~F.col("is_special")).over(Window.partitionBy("component")))
-    shown = ranked.where("(not is_special and k <= 3) or (is_special and not plain and k <= 2)").withColumn("node_id", F.col("id"))
+    # The rank's bound is pushed below the shuffle, so a large component does not gather in one task.
+    first = dead.withColumn("k", F.row_number().over(w)).where("k <= 3")
+    plain = dead.groupBy("component").agg(F.max(~F.col("is_special")).alias("plain"))
+    shown = first.join(plain, "component").where("not is_special or (not plain and k <= 2)").withColumn("node_id", F.col("id"))
     return shown.select(*_row("dead_code", "warning", F.concat("node_type", F.lit(" '"), "qualified_name", F.lit("' is not reachable from any entry point")), F.col("line_start")))
 
 

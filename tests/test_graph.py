@@ -50,6 +50,22 @@ def test_loops(spark, seed, most):
     assert loops.strong_components(df.limit(0), most).count() == 0
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """10,000 vertices in a row, and a circle of as many, which edge by edge would take as many rounds."""
+    rounds = []
+    real = loops.written
+    monkeypatch.setattr(loops, "written", lambda df, name: rounds.append(name) or real(df, name))
+    n = 10_000
+    row = spark.range(n - 1).selectExpr("id as u", "id + 1 as v")
+    assert loops.reach(spark.createDataFrame([(3,)], "id long"), row, 0).count() == n - 3
+    assert rounds.count("front") <= 30
+    rounds.clear()
+    tails = spark.range(n).selectExpr(f"id + {n} as u", f"case when id = {n - 1} then {n} else id + {n} + 1 end as v").union(row).union(spark.createDataFrame([(n - 1, n)], "u long, v long")).union(spark.range(500).selectExpr(f"if(id = 0, {n}, id + {2 * n}) as u", f"id + {2 * n} + 1 as v"))
+    found = loops.strong_components(tails, 0)
+    assert (found.count(), found.select("component").distinct().collect()[0][0]) == (n, n)
+    assert len(rounds) <= 200
+
+
 def graph(spark, nodes, edges, entries):
     """Nodes ``id: (type, file, parent, special, public)``."""
     n = [(i, f"n{i}", f"mod.n{i}", *v) for i, v in nodes.items()]
@@ -130,3 +146,20 @@ def test_partial_types_share_life(spark):
     nodes = {1: fn(), 2: fn(kind="class"), 3: fn(kind="class"), 4: fn(kind="class")}
     got = split_of(spark, nodes, [(1, 2, "call", 1), (2, 4, "part_of", 1), (3, 4, "part_of", 1)], [(1, 1, False)])
     assert got == {(frozenset({1, 2, 3, 4}), False)}
+
+
+def test_large_components_are_hashed_in_ranges(spark, monkeypatch):
+    import hashlib
+
+    from sparkweave.operators import stats
+
+    nodes = spark.range(1, 200).selectExpr("id", "if(id % 3 = 0, 'variable', 'function') as node_type")
+    members = spark.range(1, 200).selectExpr("id", "if(id % 10 = 0, 10L, 1L) as component", "false as is_dead")
+    monkeypatch.setattr(stats, "LISTED", 50)
+    monkeypatch.setattr(stats, "RANGE", 32)
+    rows = {r["component"]: r for r in stats.component_stats(nodes, members).collect()}
+    tens, others = [k for k in range(1, 200) if k % 10 == 0], [k for k in range(1, 200) if k % 10]
+    assert rows[10]["root_node_ids"] == tens and rows[10]["component_hash"] == hashlib.sha256(str(tens).encode()).hexdigest()
+    digests = "".join(hashlib.sha256(str([k for k in others if k // 32 == r]).encode()).hexdigest() for r in range(7))
+    assert rows[1]["component_hash"] == hashlib.sha256(digests.encode()).hexdigest() and rows[1]["root_node_ids"] == [k for k in others if k < 32]
+    assert rows[1]["node_count"] + rows[1]["variable_count"] == len(others)

@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.graph import loops
+from sparkweave.graph import local, loops
 from sparkweave.operators import analyze, resolve, stats, warn
+from sparkweave.plans import cases
 from sparkweave.plans.projections import Graph, project, with_ctes
 from sparkweave.session import small_input
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Queries that are also run with the distributed loops and tables alone, as on large graphs.
+DISTRIBUTED = ("reach_entries", "components", "merge_inherit", "snapshots", "scc_dense", "warn_dedupe")
+
 
 def query(sql: str | None = None):
     def keep(f: Callable[[Graph], DataFrame]):
@@ -23,9 +27,17 @@ def query(sql: str | None = None):
             with small_input(rows):
                 return f(project(spark, sf_dir))
 
+        def run_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with local.distributed():
+                return f(project(spark, sf_dir))
+
         QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
+        if f.__name__ in DISTRIBUTED:
+            QUERIES[f"{f.__name__}_distributed"] = run_distributed
+            if sql:
+                ORACLES[f"{f.__name__}_distributed"] = sql
         return f
 
     return keep
@@ -445,3 +457,7 @@ def nearest_project(g: Graph) -> DataFrame:
     names = g.files.select(folder.alias("folder")).distinct().where(F.col("folder").isin("AFRICA", "ASIA", "MIDDLE EAST"))
     projects = names.union(spark.createDataFrame([("",)], "folder string")).withColumn("project", F.col("folder"))
     return nearest(g.files.select("file_id", "path"), projects).select("file_id", "folder")
+
+
+QUERIES |= cases.QUERIES
+ORACLES |= cases.ORACLES

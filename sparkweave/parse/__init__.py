@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
+from types import ModuleType
+
+from pyspark import cloudpickle
 
 
 @dataclass
@@ -76,6 +80,9 @@ def register(name: str, adapter: object) -> None:
     missing = [a for a in CONTRACT if not hasattr(adapter, a)]
     if missing:
         raise TypeError(f"the adapter of {name} lacks {', '.join(missing)}")
+    home = sys.modules.get(adapter.__name__ if isinstance(adapter, ModuleType) else type(adapter).__module__)
+    if home is not None and home.__name__ != "__main__":
+        cloudpickle.register_pickle_by_value(home)  # executors need not have it
     _OWN[name] = adapter
 
 

@@ -85,7 +85,7 @@ CTES = {
 }
 
 
-def with_ctes(*names: str, tail: str) -> str:
+def with_ctes(*names: str, tail: str, ctes: dict[str, str] = CTES) -> str:
     """``WITH RECURSIVE`` the named tables and what they need, then ``tail``; it may start with further tables and a comma."""
     needs = {"g_edges": ("g_orders",), "g_refs": ("g_orders",), "g_noprop": ("g_nodes", "g_files"), "g_calls": ("g_nodes", "g_edges"), "g_adj": ("g_nodes", "g_edges"), "g_reach": ("g_entries", "g_calls"), "g_cc": ("g_nodes", "g_adj"), "g_comp": ("g_cc",)}
     want: set[str] = set()
@@ -97,5 +97,5 @@ def with_ctes(*names: str, tail: str) -> str:
 
     for x in names:
         add(x)
-    order = [x for x in CTES if x in want]
-    return "WITH RECURSIVE " + ",\n".join(CTES[x] for x in order) + tail
+    order = [x for x in ctes if x in want]
+    return "WITH RECURSIVE " + ",\n".join(ctes[x] for x in order) + tail

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.config import META
 from sparkweave.functions.names import base_name, folders
-from sparkweave.operators.rules import any_glob, glob, matches
+from sparkweave.operators.rules import any_glob, matches
 from sparkweave.parse import LANGUAGES, language, registered
 from sparkweave.sources import storage
 
@@ -32,23 +32,6 @@ def language_column(path: Column) -> Column:
     return out
 
 
-def excluded_column(path: Column, user: list[str] = ()) -> Column:
-    """Whether a path lies in an excluded, hidden or ``*.egg-info`` folder, is hidden or compiled itself, or is excluded by the user.
-
-    A user's pattern that ends in ``/`` names folders at any depth or a leading path; another one is a glob for the path or its last part.
-    """
-    names = sorted(set(COMMON_EXCLUDES).union(*(language(x).EXCLUDES for x in registered())))
-    within = folders(path)
-    out = F.exists(within, lambda d: d.isin(*names) | d.endswith(".egg-info") | d.startswith(".")) | base_name(path).startswith(".") | path.rlike(r"\.py[co]$")
-    for p in user:
-        if p.endswith("/"):
-            named = glob(p[:-1])
-            out = out | F.exists(within, lambda d: d.rlike(named)) | path.startswith(p)
-        else:
-            out = out | path.rlike(glob(p)) | base_name(path).rlike(glob(p))
-    return out
-
-
 def test_column(path: Column, patterns: dict) -> Column:
     """Whether a path is that of a test file: its name fits a pattern, a folder is a test folder, or it is a test configuration file."""
     base = base_name(path)

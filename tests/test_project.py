@@ -170,6 +170,74 @@ def test_incremental_equals_full(spark, tmp_path, start, edit, want):
     assert again["nodes_added"] == 0 and again["files_changed"] == 0
 
 
+def test_names_with_an_underscore_are_read(spark, tmp_path):
+    root = str(tmp_path)
+    write(root, {"__main__.py": "x = 1\n", "_impl/mod.py": "def f():\n    pass\n", "pkg/__init__.py": "import os\n__version__ = '1'\ndef api():\n    pass\n", "pkg/_private.py": "y = 1\n", "pkg/plain.py": "z = 1\n", "node_modules/no.py": "", "_build/yes.py": ""})
+    api.build(root_dir=root, spark=spark)
+    at = index(spark, root)
+    assert {r["path"] for r in at.read("files").collect()} == {"__main__.py", "_impl/mod.py", "pkg/__init__.py", "pkg/_private.py", "pkg/plain.py", "_build/yes.py"}
+    assert {r["qualified_name"] for r in at.read("nodes").collect()} >= {"pkg.__init__.api", "_impl.mod.f", "pkg._private.y"}
+    assert at.read("entries").join(at.read("files"), "file_id").where("rule_name = 'python_package'").select("path").first()[0] == "pkg/__init__.py"
+
+
+def test_index_survives_builds_side_by_side_and_deaths(spark, tmp_path):
+    at = Index(spark, f"file:{tmp_path}/index")
+    one = spark.range(3)
+    first, second, dead = at.begin(), at.begin(), at.begin()
+    at.write(first, "t", one)
+    at.write(dead, "t", one)  # never committed: its build died, or goes on
+    at.commit(first)
+    assert at.read("t").count() == 3
+    at.write(second, "t", spark.range(5))
+    at.commit(second)
+    assert at.read("t").count() == 5 and os.path.isdir(f"{tmp_path}/index/{first}") and os.path.isdir(f"{tmp_path}/index/{dead}")
+    third = at.begin()
+    at.write(third, "t", spark.range(7))
+    at.commit(third)
+    assert at.current()["version"] == third and not os.path.isdir(f"{tmp_path}/index/{first}") and os.path.isdir(f"{tmp_path}/index/{dead}")
+    old = f"v-{'1' * 13}-x"
+    at.write(old, "t", one)
+    last = at.begin()
+    at.write(last, "t", spark.range(1))
+    at.commit(last)
+    assert not os.path.isdir(f"{tmp_path}/index/{old}") and at.read("t").count() == 1
+
+
+class Lines:
+    """A language whose every line names a function."""
+
+    EXTENSIONS, EXCLUDES, PUBLIC = (".lines",), ("skipped",), frozenset()
+
+    def module_of(self, path):
+        return path.removesuffix(".lines")
+
+    def is_special(self, name):
+        return False
+
+    def parse(self, path, data):
+        from sparkweave.parse import Parsed
+
+        p = Parsed(module=self.module_of(path))
+        for k, name in enumerate(data.decode().split(), 1):
+            p.node("function", name, f"{p.module}.{name}", k, k)
+        return p
+
+
+def test_languages_of_ones_own(spark, tmp_path):
+    from sparkweave import parse
+
+    root = str(tmp_path)
+    write(root, {"a.lines": "f g", "skipped/b.lines": "h", "c.py": "x = 1\n"})
+    with pytest.raises(TypeError):
+        parse.register("lines", object())
+    parse.register("lines", Lines())
+    try:
+        api.build(root_dir=root, spark=spark)
+        assert {r["qualified_name"] for r in index(spark, root).read("nodes").collect()} == {"a.f", "a.g", "c.x"}
+    finally:
+        parse.unregister("lines")
+
+
 def test_configuration(tmp_path):
     root = str(tmp_path)
     assert api.configure("show", root_dir=root)["config"]["version"] == 1

@@ -22,3 +22,6 @@ def test_index_follows_files(spark, tmp_path):
     keep_indexed(spark, root, check, once=True).awaitTermination()
     assert {r["path"] for r in _index(spark, root).read("files").collect()} == {"a.py", "b.py"}
     assert _index(spark, root).read("warnings").count() == 0
+    os.unlink(os.path.join(root, "b.py"))  # a file that is gone makes a batch too
+    keep_indexed(spark, root, check, once=True).awaitTermination()
+    assert {r["path"] for r in _index(spark, root).read("files").collect()} == {"a.py"}

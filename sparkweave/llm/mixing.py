@@ -17,11 +17,11 @@ import heapq
 import math
 from fractions import Fraction
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.llm.ranks import ranked
+from sparkweave.session import written
 
 #: Documents of a block; slots of a period; exponent of the default weights (1: as the sources are, 0: all equal).
 BLOCK, PERIOD, ALPHA = 32, 1000, 0.7
@@ -139,15 +139,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source: str = "sour
 def with_places(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with the place of each row in its stream, from 0 on, in a new column.
 
-    A table that was written in mixed order and read again is in the order of its files and their rows; any other DataFrame in that of its
-    partitions. Places grow along the stream, whatever tasks read it; rows that were filtered out leave gaps.
+    A table that was written in mixed order and read again is in the order of its files and their rows; any other DataFrame is
+    written first. Places grow along the stream, whatever tasks read it; rows that were filtered out leave gaps.
     """
-    try:
-        meta = docs.metadataColumn("_metadata")
-        at = docs.select("*", meta["file_path"].alias(name + "_f"), meta["row_index"].alias(name + "_r"))
-    except AnalysisException:  # not a table of files
-        both = docs.select("*", F.monotonically_increasing_id().alias(name + "_r"))
-        return both.withColumnRenamed(name + "_r", name)
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation":  # no table of files, though it may come from one in another order
+        docs = written(docs, "stream")
+    meta = docs.metadataColumn("_metadata")
+    at = docs.select("*", meta["file_path"].alias(name + "_f"), meta["row_index"].alias(name + "_r"))
     sizes = at.groupBy(name + "_f").agg((F.max(name + "_r") + 1).alias("_n"))
     number = F.regexp_extract(name + "_f", r"part-(\d+)[^/]*$", 1).try_cast("long")
     before = Window.orderBy(number.asc_nulls_first(), F.col(name + "_f")).rowsBetween(Window.unboundedPreceding, -1)  # over one row a file

@@ -185,7 +185,10 @@ def test_places_are_those_of_the_stream(spark, tmp_path):
     at = {r["p"]: r["doc_id"] for r in placed.collect()}
     assert [at[k] for k in range(len(at))] == want
     assert [r["doc_id"] for r in mixing.with_places(mixed, "p").orderBy("p").collect()] == want
-    assert mixing.with_places(spark.read.parquet(f"{tmp_path}/mixed").limit(0), "p").count() == 0
+    again = spark.read.parquet(f"{tmp_path}/mixed")
+    assert mixing.with_places(again.limit(0), "p").count() == 0
+    turned = again.orderBy("doc_id")  # its places are its own, not those of the files it comes from
+    assert [r["doc_id"] for r in mixing.with_places(turned, "p").orderBy("p").collect()] == [r["doc_id"] for r in turned.collect()]
 
 
 def test_windows_follow_the_schedule(spark):

@@ -53,6 +53,8 @@ def reach(seeds: DataFrame, edges: DataFrame, most_edges: int = local.MOST_EDGES
 
 #: Rounds of a loop that go edge by edge; after them chains are shortened.
 PLAIN_ROUNDS = 6
+#: Rounds of trimming that take single vertices; after them whole chains go.
+TRIM_ROUNDS = 12
 
 
 class _Jumps:
@@ -149,7 +151,7 @@ def _trimmed(rest: DataFrame) -> DataFrame:
     """The edges without vertices that have no edge in or none out, again and again; long chains to or from such a vertex go at once."""
     for k in itertools.count(1):
         n = rest.count()
-        if k > PLAIN_ROUNDS:
+        if k > TRIM_ROUNDS:
             for u, v in (("u", "v"), ("v", "u")):
                 way = rest.select(F.col(u).alias("u"), F.col(v).alias("v"))
                 ends = _Jumps(way).ends()

@@ -19,6 +19,8 @@ from sparkweave.sources import scan, storage
 from sparkweave.sources.index import Index
 
 
+#: Warnings of a graph, or tests of dead code, that are returned at most; how many more there are is said.
+MOST_ROWS = 1000
 #: Upper bound of ``parallel``.
 MOST_PARALLEL = 64
 
@@ -181,7 +183,7 @@ def graph_detail(index: Index, graph_id: int, node_limit: int = 30, edge_limit:
     shown, nodes_left = _head(mine, node_limit, ["id"])
     drawn, edges_left = _head(edges, edge_limit, ["path", "line", "source_name", "target_name", "edge_type"])
     paths, files_left = _head(mine.select("path").distinct(), file_limit, ["path"])
-    said, _ = _head(warnings, 0, ["path", "line", "warn_type"])
+    said, said_left = _head(warnings, MOST_ROWS, ["path", "line", "warn_type"])
     out: dict[str, Any] = {
         "graph_id": graph_id, "entry": _entry(snap.asDict()), "files": [r["path"] for r in paths],
         "nodes": [{"node_id": r["id"], "name": r["name"], "qualified_name": r["qualified_name"], "node_type": r["node_type"], "file_path": r["path"], "line_start": r["line_start"], "line_end": r["line_end"], "is_deprecated": r["is_deprecated"], "type_annotation": r["type_annotation"], "decorators": r["decorators"] or []} for r in shown],
@@ -189,7 +191,7 @@ def graph_detail(index: Index, graph_id: int, node_limit: int = 30, edge_limit:
         "warnings": [{"warn_type": r["warn_type"], "severity": r["severity"], "message": r["message"], "file_path": r["path"], "line": r["line"]} for r in said],
         "histogram": {r["node_type"]: r["count"] for r in mine.groupBy("node_type").count().collect()},
     }
-    for what, n in (("edges", edges_left), ("nodes", nodes_left), ("files", files_left)):
+    for what, n in (("edges", edges_left), ("nodes", nodes_left), ("files", files_left), ("warnings", said_left)):
         if n:
             out[f"{what}_omitted"] = n
     return out
@@ -197,10 +199,12 @@ def graph_detail(index: Index, graph_id: int, node_limit: int = 30, edge_limit:
 
 def _dead_tests(index: Index, json_output: bool, t: Text, took) -> str | dict[str, Any]:
     found = stats.tests_of_dead(index.read("nodes"), index.read("edges"), index.read("members"), index.read("files"))
-    rows = [{"test_file": r["test_file"], "line": r["line"], "referenced_symbol": r["target"], "dead_graph_id": r["graph_id"]} for r in found.orderBy("graph_id", "test_file", "line", "target").collect()]
+    shown, left = _head(found, MOST_ROWS, ["graph_id", "test_file", "line", "target"])
+    rows = [{"test_file": r["test_file"], "line": r["line"], "referenced_symbol": r["target"], "dead_graph_id": r["graph_id"]} for r in shown]
     if json_output:
-        return _ok(dead_code_tests=rows, query_time_ms=took())
-    return "\n".join([t("tests", count=len(rows)), *(f"  {r['test_file']}:{r['line']} → {r['referenced_symbol']} (graph {r['dead_graph_id']})" for r in rows)])
+        return _ok(dead_code_tests=rows, **({"tests_omitted": left} if left else {}), query_time_ms=took())
+    more = [f"  … {left}"] if left else []
+    return "\n".join([t("tests", count=len(rows) + left), *(f"  {r['test_file']}:{r['line']} → {r['referenced_symbol']} (graph {r['dead_graph_id']})" for r in rows), *more])
 
 
 def validate(index: Index, root: str, graph_id: int) -> bool:
@@ -208,7 +212,7 @@ def validate(index: Index, root: str, graph_id: int) -> bool:
     if index.current() is None:
         return False
     mine = index.read("members").where(F.col("component") == graph_id).select("id")
-    files = index.read("nodes").join(mine, "id", "left_semi").select("file_id").distinct().join(index.read("files"), "file_id").select("path", "mtime_ns").collect()
+    files = index.read("nodes").join(mine, "id", "left_semi").select("file_id").distinct().join(index.read("files"), "file_id").select("path", "mtime_ns").toLocalIterator()
     return all(storage.modified(root, r["path"]) == r["mtime_ns"] for r in files)
 
 

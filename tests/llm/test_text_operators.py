@@ -100,6 +100,25 @@ def test_sliding_equals_the_forward_pass(network):
     assert len(toxicity.sliding(network, x, of[:31])) == 0
 
 
+@pytest.mark.parametrize("exponentials", [False, True])
+def test_sliding_at_the_edges_of_blocks_and_the_tangents_it_takes(network, exponentials, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((50, 10)) * 3).astype(np.float32)
+    of, last, block = rng.integers(0, 50, 10_000), toxicity.WINDOW - 1, toxicity.BLOCK
+    token = of[np.arange(toxicity.WINDOW)[:, None] + np.arange(len(of) - last)]
+    for scale in (1, 200):
+        m = network | {"att": network["att"] * np.float32(scale)}
+        want = toxicity.forward(m, x, token, None)
+        for n in (1, 2, block - 1, block, block + 1, toxicity.SIDE, toxicity.SIDE + 1, len(of) - last):
+            got = toxicity.sliding(m, x, of[: n + last], exponentials)
+            assert got.shape == (n,) and np.allclose(got, want[:n], atol=1e-3)
+    taken, tanh, n = [], np.tanh, 2 * toxicity.SIDE
+    monkeypatch.setattr(np, "tanh", lambda v, **out: (taken.append(v.size), tanh(v, **out))[1])
+    toxicity.sliding(network, x, of[: n + last], exponentials)
+    steps = 0 if exponentials else 2 * (toxicity.WINDOW - 1)  # a window's first step in either direction is looked up
+    assert sum(taken) == 3 * toxicity.HIDDEN * n * steps + 2 * 2 * toxicity.HIDDEN * len(x)
+
+
 def test_gradients(network):
     rng = np.random.default_rng(0)
     m = {k: v.astype(np.float64) if isinstance(v, np.ndarray) else v for k, v in network.items()}

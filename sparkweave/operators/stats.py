@@ -39,6 +39,19 @@ def component_stats(nodes: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def whole_component_stats(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """As :func:`component_stats`, with all ids and the hash of all their list, however large the component.
+
+    Ids are sorted and put together range by range, then the ranges are joined, which is one path for all sizes. A component's list is a row of the result, so one task holds it.
+    """
+    counts = [F.count_if(F.col("node_type").isin("class", "function", "method")).alias("node_count"), F.count_if(F.col("node_type").isin(*S.VARIABLES)).alias("variable_count")]
+    key = ["component", "is_dead"]
+    ranges = nodes.select("id", "node_type").join(members, "id").groupBy(*key, F.floor(F.col("id") / RANGE).alias("range")).agg(*counts, F.sort_array(F.collect_set("id")).alias("ids"))
+    rows = F.sort_array(F.collect_list(F.struct("range", "ids")))
+    whole = ranges.groupBy(*key).agg(F.sum("node_count").alias("node_count"), F.sum("variable_count").alias("variable_count"), F.flatten(F.transform(rows, lambda x: x["ids"])).alias("root_node_ids"))
+    return whole.withColumn("component_hash", F.sha2(F.concat(F.lit("["), F.array_join(F.col("root_node_ids").cast("array<string>"), ", "), F.lit("]")), 256))
+
+
 def edge_counts(edges: DataFrame, members: DataFrame) -> DataFrame:
     """``(component, edge_count)``: an edge counts once in the component of either end; module-level code is in none."""
     ends = F.array_distinct(F.array("a", "b"))
@@ -62,7 +75,7 @@ def component_entries(entries: DataFrame, nodes: DataFrame, members: DataFrame,
 def snapshots(nodes: DataFrame, edges: DataFrame, members: DataFrame, warnings: DataFrame, entries: DataFrame, files: DataFrame) -> DataFrame:
     """One row per component."""
     warned = warnings.join(members.select(F.col("id").alias("node_id"), "component"), "node_id").groupBy("component").agg(F.count(F.lit(1)).alias("warning_count"))
-    out = component_stats(nodes, members).join(edge_counts(edges, members), "component", "left").join(warned, "component", "left").join(component_entries(entries, nodes, members, files), "component", "left")
+    out = whole_component_stats(nodes, members).join(edge_counts(edges, members), "component", "left").join(warned, "component", "left").join(component_entries(entries, nodes, members, files), "component", "left")
     return out.select(
         F.col("component").alias("graph_id"), "entry_file", F.col("entry_line").cast("int").alias("entry_line"), F.coalesce("entry_type", F.lit("")).alias("entry_type"), "node_count", "variable_count",
         F.coalesce("edge_count", F.lit(0).cast("long")).alias("edge_count"), F.coalesce("warning_count", F.lit(0).cast("long")).alias("warning_count"), F.col("is_dead").alias("is_dead_code"), F.col("is_dead").alias("is_unreachable"), "root_node_ids", "component_hash",

@@ -145,7 +145,8 @@ def query(
 
 def graph_list(index: Index, max_results: int = 50, **filters) -> dict[str, Any]:
     """A page of graphs with the totals that go with it."""
-    frame = stats.list_graphs(index.read("snapshots"), index.read("members"), index.read("warnings"), index.read("files"), limit=max_results + 1, **filters)
+    snaps = index.read("snapshots").withColumn("component_size", F.size("root_node_ids")).drop("root_node_ids")  # lists of ids stay where they are
+    frame = stats.list_graphs(snaps, index.read("members"), index.read("warnings"), index.read("files"), limit=max_results + 1, **filters)
     rows = [r.asDict() for r in frame.collect()]  # one page
     page = rows[:max_results]
     kinds: dict[int, list[str]] = {}
@@ -155,7 +156,7 @@ def graph_list(index: Index, max_results: int = 50, **filters) -> dict[str, Any]
             kinds.setdefault(r["component"], []).append(r["warn_type"])
     graphs = [
         {"graph_id": r["graph_id"], "entry": _entry(r), "entry_file": r["entry_file"] or "", "entry_line": r["entry_line"], "node_count": r["node_count"], "variable_count": r["variable_count"], "edge_count": r["edge_count"],
-         "warning_count": r["warning_count"], "warnings": sorted(kinds.get(r["graph_id"], [])), "is_dead_code": r["is_dead_code"], "is_unreachable": r["is_unreachable"], "component_size": len(r["root_node_ids"])}
+         "warning_count": r["warning_count"], "warnings": sorted(kinds.get(r["graph_id"], [])), "is_dead_code": r["is_dead_code"], "is_unreachable": r["is_unreachable"], "component_size": r["component_size"]}
         for r in page
     ]
     summary = {r["warn_type"]: r["n"] for r in index.read("summary").collect()}
@@ -171,7 +172,7 @@ def _head(df: DataFrame, limit: int, order: list) -> tuple[list[dict], int]:
 
 
 def graph_detail(index: Index, graph_id: int, node_limit: int = 30, edge_limit: int = 10, file_limit: int = 10) -> dict[str, Any] | None:
-    snap = index.read("snapshots").where(F.col("graph_id") == graph_id).first()
+    snap = index.read("snapshots").drop("root_node_ids").where(F.col("graph_id") == graph_id).first()
     if snap is None:
         return None
     nodes, members, files = index.read("nodes"), index.read("members"), index.read("files").select("file_id", "path")

@@ -46,7 +46,7 @@ def whole_component_stats(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """
     counts = [F.count_if(F.col("node_type").isin("class", "function", "method")).alias("node_count"), F.count_if(F.col("node_type").isin(*S.VARIABLES)).alias("variable_count")]
     key = ["component", "is_dead"]
-    ranges = nodes.select("id", "node_type").join(members, "id").groupBy(*key, F.floor(F.col("id") / RANGE).alias("range")).agg(*counts, F.sort_array(F.collect_set("id")).alias("ids"))
+    ranges = nodes.select("id", "node_type").join(members.hint("merge"), "id").groupBy(*key, F.floor(F.col("id") / RANGE).alias("range")).agg(*counts, F.sort_array(F.collect_set("id")).alias("ids"))
     rows = F.sort_array(F.collect_list(F.struct("range", "ids")))
     whole = ranges.groupBy(*key).agg(F.sum("node_count").alias("node_count"), F.sum("variable_count").alias("variable_count"), F.flatten(F.transform(rows, lambda x: x["ids"])).alias("root_node_ids"))
     return whole.withColumn("component_hash", F.sha2(F.concat(F.lit("["), F.array_join(F.col("root_node_ids").cast("array<string>"), ", "), F.lit("]")), 256))
@@ -106,8 +106,9 @@ def list_graphs(
         out = out.where("not is_unreachable")
     if warn_types:
         wanted = sorted(set(warn_types))
-        has = warnings.where(F.col("warn_type").isin(*wanted)).join(members.select(F.col("id").alias("node_id"), F.col("component").alias("graph_id")), "node_id")
-        out = out.join(has.groupBy("graph_id").agg(F.count_distinct("warn_type").alias("_k")).where(F.col("_k") == len(wanted)).select("graph_id"), "graph_id", "left_semi")
+        # Merged, as their sizes are those of the graph, and a broadcast goes through the driver.
+        has = warnings.where(F.col("warn_type").isin(*wanted)).join(members.select(F.col("id").alias("node_id"), F.col("component").alias("graph_id")).hint("merge"), "node_id")
+        out = out.join(has.groupBy("graph_id").agg(F.count_distinct("warn_type").alias("_k")).where(F.col("_k") == len(wanted)).select("graph_id").hint("merge"), "graph_id", "left_semi")
     out = out.select(*snaps.columns).orderBy(F.col(SORTS.get(sort_by, "warning_count")).desc_nulls_last(), "graph_id")
     return out if limit is None else out.limit(limit)
 
